@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import mixing, packing, simhash, url_filter
+from auditloom.llm import mixing, packing, simhash, toxicity, url_filter
 
 RULES = (
     ("block", "net", "/"),
@@ -42,11 +42,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE: dict[str, str] = {
