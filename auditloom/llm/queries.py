@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import mixing, packing, simhash, toxicity, url_filter
+from auditloom.llm import ann, mixing, packing, simhash, toxicity, url_filter, vector_dedup
 
 RULES = (
     ("block", "net", "/"),
@@ -42,16 +42,26 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op7_vector_dedup": op7_vector_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE: dict[str, str] = {
