@@ -93,7 +93,7 @@ def links(classes: DataFrame) -> DataFrame:
     any size costs rows in proportion to its members.
     """
     fp = F.col("fp")
-    cells = classes.select("fp", cell(fp).alias("at")).select("fp", F.explode(grid_points(F.col("at"))).alias("cell"))
+    cells = classes.select("fp", cell(fp).alias("at")).select("fp", F.explode_outer(grid_points(F.col("at"))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
     met = durable(cells.join(shared, "cell", "left_semi").select("fp").distinct(), "simhash-met")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i"))

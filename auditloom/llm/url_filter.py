@@ -27,39 +27,43 @@ def _position(key: Column, salt: Column, i: Column, bits: Column) -> Column:
     return F.pmod(F.xxhash64(key, salt, i), bits)
 
 
+def byte_at(packed: Column, i: Column) -> Column:
+    """Byte ``i`` (0 to 127) of a binary constant: read in place, while a large array constant slows down planning."""
+    return F.ascii(F.substring(packed, i.cast("int") + 1, 1).cast("string"))
+
+
 class Level(NamedTuple):
     salt: int
     hashes: int
     bits: int
-    words: Column  # array<bigint>, a constant
+    packed: bytes  # seven bits in each byte, so that a byte is one ASCII character
 
     def passes(self, key: Column) -> Column:
         """Whether every bit of ``key`` is set."""
+        packed = F.lit(self.packed)
 
         def is_set(i: Column) -> Column:
             pos = _position(key, F.lit(self.salt), i, F.lit(self.bits).cast("bigint"))
-            word = F.get(self.words, F.shiftrightunsigned(pos, 6).cast("int"))
-            return F.call_function("shiftrightunsigned", word, pos.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+            return F.call_function("shiftright", byte_at(packed, F.floor(pos / 7)), (pos % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
 
         return F.forall(F.sequence(F.lit(0), F.lit(self.hashes - 1)), is_set)
 
 
 def build_level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
-    """A Bloom filter of the column ``key``; bits are or-ed in partial aggregates, and the words, at most
-    ``MAX_LEVEL_BITS / 64`` numbers, become a constant of the plan."""
+    """A Bloom filter of the column ``key``; bits are or-ed in partial aggregates, and the bytes, at most
+    ``MAX_LEVEL_BITS / 7``, become a constant of the plan."""
     bits = max(64, -(-math.ceil(count * 1.4427 * math.log2(1 / rate)) // 64) * 64)
     if bits > MAX_LEVEL_BITS:
         raise ValueError(f"a level of {bits} bits exceeds {MAX_LEVEL_BITS}: split the list by key and cascade each part")
     hashes = max(1, round(bits / max(1, count) * 0.6931)) if count > 8 else max(1, round(math.log2(1 / rate)))
     pos = F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: _position(F.col("key"), F.lit(salt), i, F.lit(bits).cast("bigint"))))
-    one = F.lit(1).cast("bigint")
-    set_bits = keys.select(pos.alias("pos")).groupBy(F.shiftrightunsigned("pos", 6).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", one, F.col("pos").bitwiseAND(F.lit(63)).cast("int"))).alias("word")
+    set_bits = keys.select(pos.alias("pos")).groupBy(F.floor(F.col("pos") / 7).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("pos") % 7).cast("int"))).alias("byte")
     )
-    words = [0] * (bits // 64)
-    for at, word in set_bits.collect():
-        words[at] = word
-    return Level(salt, hashes, bits, F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"))
+    packed = bytearray(-(-bits // 7))
+    for at, byte in set_bits.collect():
+        packed[at] = byte
+    return Level(salt, hashes, bits, bytes(packed))
 
 
 class Cascade:
