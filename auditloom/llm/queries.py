@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import ann, html_text, line_dedup, mixing, packing, simhash, toxicity, url_filter, vector_dedup
+from auditloom.llm import ann, chat, html_text, line_dedup, mixing, packing, simhash, toxicity, url_filter, vector_dedup
 
 RULES = (
     ("block", "net", "/"),
@@ -55,6 +55,10 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_vector_dedup": op7_vector_dedup,
+    "op8_chat": op8_chat,
     "op9_toxicity": op9_toxicity,
     "op10_nearest": op10_nearest,
 }
