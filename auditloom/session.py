@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,3 +31,11 @@ def get_spark(app: str = "auditloom", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one table of a scale-factor folder; only Spark's own reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/auditloom-{os.getpid()}")
+    return df.checkpoint()
