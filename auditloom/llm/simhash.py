@@ -95,11 +95,10 @@ def links(classes: DataFrame) -> DataFrame:
     fp = F.col("fp")
     cells = classes.select("fp", cell(fp).alias("at")).select("fp", F.explode_outer(grid_points(F.col("at"))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    met = durable(cells.join(shared, "cell", "left_semi").select("fp").distinct(), "simhash-met")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i"))
-    near = met.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i"))
-    near = near.select("fp", F.when(F.col("i") < 0, fp).otherwise(fp.bitwiseXOR(bit)).alias("mid"))
-    near = near.withColumn("cell", cell(F.col("mid")))
+    met = durable(cells.join(shared, "cell", "left_semi"), "simhash-met")
+    bits = F.sequence(F.lit(-1), F.lit(63))
+    own = F.transform(bits, lambda i: F.when(i < 0, fp).otherwise(fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(i, F.lit(0))))))
+    near = met.select("fp", "cell", F.explode_outer(F.filter(own, lambda m: cell(m) == F.col("cell"))).alias("mid")).where("mid is not null")
     star = near.groupBy("cell", "mid").agg(F.min("fp").alias("v"), F.max("fp").alias("hi")).where("v <> hi").drop("hi")
     return near.join(star, ["cell", "mid"]).where("fp <> v").select(fp.alias("u"), "v").distinct()
 
