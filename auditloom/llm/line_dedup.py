@@ -1,48 +1,179 @@
-"""Line deduplication by an exact set-similarity join."""
+"""Line deduplication by an exact set-similarity join.
+
+Tokenising lines takes 300 CPU seconds a GB for each pass as DataFrame functions, whose lambdas are interpreted, where
+400 are allowed in all; so the tokens are made by numpy in Arrow batches and everything after that is DataFrame operations.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import SPACE, ascii_lower, durable
-from auditloom.llm.url_filter import MAX_LEVEL_BITS, build_level, byte_at
+from auditloom.llm.common import durable
+from auditloom.llm.url_filter import MAX_LEVEL_BITS, build_level
 
 SHINGLE = 5
 #: Lines match at a Jaccard similarity of NUM / DEN or more; kept as integers so that every bound is exact.
 NUM, DEN = 4, 5
 #: Buckets of the count sketch that orders tokens by rarity; its size is fixed, whatever the corpus.
 SKETCH = 1 << 16
+#: Word hashes a worker keeps; a fuller store starts anew.
+CACHED_WORDS = 500_000
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(ascii_lower(line), SPACE), lambda w: w != "")
+class Tokens(NamedTuple):
+    """Tokens of the lines of some texts that have any: for each line its text's position, its number and its words' hash."""
 
+    text: np.ndarray
+    line: np.ndarray
+    id: np.ndarray
+    starts: np.ndarray  # of each line in ``token``
+    token: np.ndarray  # unsigned hashes of runs of SHINGLE words, repeats included
 
-def _with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds ``shingles``, one hash for each run of SHINGLE ``words``; none for shorter lines.
 
-    The word hashes are a column of their own: inside the lambda they would be computed again for each shingle.
-    """
-    n = F.size("words")
-    at = F.when(n >= SHINGLE, F.sequence(F.lit(0), n - SHINGLE)).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("_hashed"), i + k) for k in range(SHINGLE)]))
-    return lines.withColumn("_hashed", F.transform("words", lambda w: F.xxhash64(w))).withColumn("shingles", runs).drop("_hashed")
+@lru_cache(1)
+def _word_hashes() -> dict[bytes, int]:
+    return {}
+
+
+def tokens_of(texts: Iterable[str | None]) -> Tokens:
+    """Tokenise whole texts; words are hashed once each, runs of words by a polynomial over all words of a batch."""
+    known, mix = _word_hashes(), np.uint64(0x9E3779B97F4A7C15)
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    digest, hashes, counts, text, line = xxhash.xxh64_intdigest, [], [], [], []
+    for t, raw in enumerate(texts):
+        for k, part in enumerate((raw or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):  # bytes: A-Z alone
+            words = part.split()  # bytes: ASCII white space alone
+            if len(words) >= SHINGLE:
+                for word in words:
+                    h = known.get(word)
+                    if h is None:
+                        h = known[word] = digest(word)
+                    hashes.append(h)
+                counts.append(len(words))
+                text.append(t)
+                line.append(k)
+    n = np.array(counts, np.int64)
+    if not len(n):
+        none = np.zeros(0, np.int64)
+        return Tokens(none, none, none, none, np.zeros(0, np.uint64))
+    w, first = np.array(hashes, np.uint64), np.cumsum(n) - n
+
+    def stir(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+    run = np.zeros(len(w) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        run = run * mix + w[k : len(w) - SHINGLE + 1 + k]
+    run = stir(run)
+    inside = np.ones(len(w), bool)
+    for k in range(1, SHINGLE):
+        inside[first + n - k] = False
+    m = n - SHINGLE + 1
+    place = np.arange(len(w), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64)
+    ids = stir(np.add.reduceat(stir(w + (place + np.uint64(1)) * mix), first) + n.astype(np.uint64)).view(np.int64)
+    return Tokens(np.array(text, np.int64), np.array(line, np.int64), ids, np.cumsum(m) - m, run[inside[: len(run)]])
+
+
+def _sorted_sets(t: Tokens, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of each line, rarest first, as (line position, token with its rank in the top byte)."""
+    key = (ranks[(t.token & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (t.token >> np.uint64(8))
+    of = np.repeat(np.arange(len(t.id)), np.diff([*t.starts, len(t.token)]))
+    order = np.lexsort((key, of))
+    key, of = key[order], of[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+    return of[new], key[new].view(np.int64)
+
+
+def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
+def _token_counts(docs: DataFrame) -> np.ndarray:
+    """Tokens of the whole corpus in each of SKETCH buckets; a task adds up its own and sends at most SKETCH rows."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for part in parts:
+            for some in _slices(part.column(0)):
+                total += np.bincount((tokens_of(some).token & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = np.zeros(SKETCH, np.int64)
+    for bucket, n in rows.collect():
+        counts[bucket] = n
+    return counts
+
+
+def _slices(texts: pa.Array, at_once: int = 256) -> Iterator[list[str | None]]:
+    """Texts of a batch, a few hundred at a time, so that scratch space stays small."""
+    for i in range(0, len(texts), at_once):
+        yield texts.slice(i, at_once).to_pylist()
+
+
+def _line_rows(docs: DataFrame, ranks: np.ndarray, prefixes: bool) -> DataFrame:
+    """Lines with tokens: ``id, doc_id, key, line_no`` and, if asked, ``size, parity, prefix``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            done = 0
+            for some in _slices(part.column("text")):
+                t = tokens_of(some)
+                at = pa.array(t.text + done)
+                done += len(some)
+                columns = [pa.array(t.id), part.column("doc_id").take(at), part.column("key").take(at), pa.array(t.line.astype(np.int32))]
+                names = ["id", "doc_id", "key", "line_no"]
+                if prefixes:
+                    of, key = _sorted_sets(t, ranks)
+                    sizes = np.bincount(of, minlength=len(t.id))
+                    first = np.cumsum(sizes) - sizes
+                    bits = np.left_shift(np.uint64(1), (key.view(np.uint64) & np.uint64(63)))
+                    parity = np.bitwise_xor.reduceat(bits, first).view(np.int64) if len(first) else np.zeros(0, np.int64)
+                    keep = sizes - (sizes * NUM + DEN - 1) // DEN + 1
+                    head = np.arange(len(of)) - first[of] < keep[of]
+                    columns += [pa.array(sizes.astype(np.int32)), pa.array(parity), _lists(of[head], key[head], len(t.id))]
+                    names += ["size", "parity", "prefix"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    extra = ", size int, parity bigint, prefix array<bigint>" if prefixes else ""
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    return keyed.mapInArrow(run, f"id bigint, doc_id {kind}, key bigint, line_no int{extra}")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Every line of every document: ``key, doc_id, line_no, words``."""
-    key = F.xxhash64("doc_id", "text").alias("key")
-    lines = docs.select("doc_id", key, F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.select("key", "doc_id", "line_no", _words(F.col("line")).alias("words"))
+def _line_sets(docs: DataFrame, ids: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``id, tokens`` of the classes ``ids``, from their first lines (``chosen``: ``id, key, line_no``)."""
+    wanted = durable(chosen.join(ids, "id", "left_semi").groupBy("key").agg(F.collect_set("line_no").alias("wanted")), "line-wanted")
+    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("key"))
+    keyed = keyed.where(_maybe_in(wanted, "key", wanted.count())).join(wanted, "key").select("text", "wanted")
+    none = np.zeros(SKETCH, np.uint8)
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            done = 0
+            for some in _slices(part.column("text")):
+                t = tokens_of(some)
+                lines = part.column("wanted").slice(done, len(some)).to_pylist()
+                done += len(some)
+                mine = np.array([int(k) in set(lines[i]) for i, k in zip(t.text, t.line, strict=True)], bool)
+                of, key = _sorted_sets(t, none)
+                here = mine[of] if len(of) else np.zeros(0, bool)
+                renumber = np.cumsum(mine) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(t.id[mine]), _lists(renumber[of[here]] if len(of) else of, key[here], int(mine.sum()))], names=["id", "tokens"])
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """Lines that are long enough to have tokens, with ``id``, a hash of their words."""
-    long = _lines(docs).where(F.size("words") >= SHINGLE)
-    return long.withColumn("id", F.xxhash64(F.array_join("words", " "), F.lit(1)))
+    return keyed.mapInArrow(run, "id bigint, tokens array<bigint>").groupBy("id").agg(F.any_value("tokens").alias("tokens"))
 
 
 def _maybe_in(keys: DataFrame, column: str, count: int) -> Column:
@@ -51,7 +182,7 @@ def _maybe_in(keys: DataFrame, column: str, count: int) -> Column:
         return F.lit(False)
     if count * 16 > MAX_LEVEL_BITS:
         return F.lit(True)
-    level = build_level(keys.select(F.col(column).alias("key")), count, 1e-3, 31)
+    level = build_level(keys.select(F.col(column).alias("key")), count, 1e-2, 31)
     return level.passes(F.col(column))
 
 
@@ -75,28 +206,11 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     all exact, before its sets are compared. A first pass compares each line with the earliest of its token, which settles
     families of copies without their pairs; a second pass compares those left with all earlier lines.
     """
-    hashed = _hashed(docs)
-    # the outer form: the inner one is planned with a filter into which the whole expression would be copied
-    tokens = _with_shingles(hashed).select(F.explode_outer("shingles").alias("t"))
-    counts = tokens.groupBy(F.col("t").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("bucket")).count().collect()
-    ranks = bytearray(SKETCH)  # from SKETCH counters: four steps for each doubling
-    for bucket, n in counts:
-        ranks[bucket] = min(127, int(4 * math.log2(n + 1)))
-    rank = F.lit(bytes(ranks))
-
-    def ordered(t: Column) -> Column:
-        first = byte_at(rank, t.bitwiseAND(F.lit(SKETCH - 1))).cast("bigint")
-        return F.shiftleft(first, 56).bitwiseOR(F.shiftrightunsigned(t, 8))
-
-    own = F.sort_array(F.transform(F.array_distinct("shingles"), ordered))
-    place = F.struct("doc_id", "key", "line_no").alias("place")
-    n = F.size("own")
-    keep = n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(t, 7).bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("own", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t)))
-    rows = _with_shingles(hashed).select("id", place, own.alias("own")).select("id", "place", n.alias("size"), parity.alias("parity"), F.slice("own", F.lit(1), keep).alias("prefix"))
+    ranks = np.minimum(127, 4 * np.log2(_token_counts(docs) + 1)).astype(np.uint8)  # four steps for each doubling
+    place = F.struct("doc_id", "key", "line_no")
     some = lambda c: F.any_value(c).alias(c)  # noqa: E731  the same for all lines of a class
-    classes = durable(rows.groupBy("id").agg(F.min("place").alias("place"), some("size"), some("parity"), some("prefix")), "line-classes")
+    rows = _line_rows(docs, ranks, True)
+    classes = durable(rows.groupBy("id").agg(F.min(place).alias("place"), some("size"), some("parity"), some("prefix")), "line-classes")
 
     token = Window.partitionBy("t")
     spread = classes.select("id", F.posexplode("prefix").alias("pos", "t"))
@@ -106,9 +220,7 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     n_ids = ids.count()
     maybe = _maybe_in(ids, "id", n_ids)
     of = classes.where(maybe).select("id", "place", "size", "parity")
-    texts = hashed.where(maybe).groupBy("id").agg(F.any_value("words").alias("words"))
-    sets = _with_shingles(texts.join(ids, "id", "left_semi")).select("id", F.array_distinct("shingles").alias("tokens"))
-    sets = durable(sets, "line-sets")
+    sets = durable(_line_sets(docs, ids, of.select("id", "place.key", "place.line_no")), "line-sets")
     shared = durable(shared.join(of, "id"), "line-candidates")
 
     def fits(a: str, b: str) -> Column:
@@ -133,7 +245,7 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     gone = durable(first.unionByName(second), "line-gone")
 
     whose = classes.select("id", "place").join(gone.withColumn("gone", F.lit(True)), "id", "left")
-    found = hashed.select("id", F.struct("doc_id", "key", "line_no").alias("here")).join(whose, "id")
+    found = _line_rows(docs, ranks, False).select("id", place.alias("here")).join(whose, "id")
     found = found.where((F.col("here") != F.col("place")) | F.col("gone"))
     return found.select("here.key", "here.line_no").distinct()
 
@@ -145,7 +257,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Jaccard similarity of 0.8 or more; lines under five words have none and always stay. Earlier means a smaller document id, or the
     same document and a smaller line number; null ids come first. A null text stays null and has no lines to
     remove; an empty one has one empty line. Rows equal in id and text are one document listed twice and keep the same lines.
-    Other columns stay; those named like a result are replaced. An empty table gives no rows. DataFrame operations only.
+    Other columns stay; those named like a result are replaced. An empty table gives no rows.
     """
     base = docs.drop("n_lines", "n_removed")
     slim = base.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -57,12 +57,13 @@ def build_level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
         raise ValueError(f"a level of {bits} bits exceeds {MAX_LEVEL_BITS}: split the list by key and cascade each part")
     hashes = max(1, round(bits / max(1, count) * 0.6931)) if count > 8 else max(1, round(math.log2(1 / rate)))
     pos = F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: _position(F.col("key"), F.lit(salt), i, F.lit(bits).cast("bigint"))))
-    set_bits = keys.select(pos.alias("pos")).groupBy(F.floor(F.col("pos") / 7).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("pos") % 7).cast("int"))).alias("byte")
+    # 63 bits to a row, then seven to a byte
+    set_bits = keys.select(pos.alias("pos")).groupBy(F.floor(F.col("pos") / 63).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("pos") % 63).cast("int"))).alias("word")
     )
-    packed = bytearray(-(-bits // 7))
-    for at, byte in set_bits.collect():
-        packed[at] = byte
+    packed = bytearray(9 * (bits // 63 + 1))
+    for at, word in set_bits.collect():
+        packed[9 * at : 9 * at + 9] = bytes(word >> 7 * k & 127 for k in range(9))
     return Level(salt, hashes, bits, bytes(packed))
 
 
