@@ -99,16 +99,16 @@ def link_quotations(messages: DataFrame, rounds: int = 40) -> DataFrame:
     tree = _previous(turns).join(links, ["conv_id", "turn"], "left")
     tree = tree.select("conv_id", "turn", F.coalesce("quoted_turn", "previous").alias("parent"), F.col("quoted_turn").isNotNull().alias("linked"))
     tree = durable(tree, "chat-tree")
-    # up: the ancestor reached so far, as far away as steps
-    jump = tree.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("bigint").alias("steps"))
-    jump = durable(jump, "chat-jump")
+    # up: the ancestor reached so far, as far away as steps; rows that have reached a root settle and take no further part
+    root = F.col("parent").isNull()
+    state = durable(tree.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), (~root).cast("bigint").alias("steps"), root.alias("done")), "chat-jump")
+    jump, moving = state.where("done"), state.where("not done")
     for _ in range(rounds):
-        far = jump.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more")).where("more > 0")
-        step = jump.join(far, ["conv_id", "up"], "left")
-        step = step.select("conv_id", "turn", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("more").isNotNull().alias("moved"))
-        step = durable(step, "chat-jump")
-        jump = step.drop("moved")
-        if not step.where("moved").limit(1).count():
+        far = jump.unionByName(moving).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("done").alias("there"))
+        step = moving.join(far, ["conv_id", "up"])
+        step = durable(step.select("conv_id", "turn", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("done")), "chat-jump")
+        jump, moving = jump.unionByName(step.where("done")), step.where("not done")
+        if not moving.limit(1).count():
             break
     placed = tree.join(jump, ["conv_id", "turn"]).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("parent").alias("parent_turn"), F.col("up").alias("root_turn"), F.col("steps").alias("depth"), "linked")
     out = parsed.withColumns({"text": _own_text(F.col("_lines")), "n_quoted": F.size(F.filter("_lines", lambda x: x["level"] > 0))})
