@@ -6,13 +6,13 @@ Tokenising lines takes 300 CPU seconds a GB for each pass as DataFrame functions
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Buckets of the count sketch that orders tokens by rarity; its size is fixed, whatever the corpus.
 SKETCH = 1 << 16
-#: Word hashes a worker keeps; a fuller store starts anew.
-CACHED_WORDS = 500_000
+#: Bytes of text a worker takes at once (a longer text is taken alone).
+AT_ONCE = 1 << 20
 
 
 class Tokens(NamedTuple):
@@ -38,50 +38,71 @@ class Tokens(NamedTuple):
     token: np.ndarray  # unsigned hashes of runs of SHINGLE words, repeats included
 
 
-@lru_cache(1)
-def _word_hashes() -> dict[bytes, int]:
-    return {}
-
-
-def tokens_of(texts: Iterable[str | None]) -> Tokens:
-    """Tokenise whole texts; words are hashed once each, runs of words by a polynomial over all words of a batch."""
-    known, mix = _word_hashes(), np.uint64(0x9E3779B97F4A7C15)
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    digest, hashes, counts, text, line = xxhash.xxh64_intdigest, [], [], [], []
-    for t, raw in enumerate(texts):
-        for k, part in enumerate((raw or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):  # bytes: A-Z alone
-            words = part.split()  # bytes: ASCII white space alone
-            if len(words) >= SHINGLE:
-                for word in words:
-                    h = known.get(word)
-                    if h is None:
-                        h = known[word] = digest(word)
-                    hashes.append(h)
-                counts.append(len(words))
-                text.append(t)
-                line.append(k)
-    n = np.array(counts, np.int64)
-    if not len(n):
-        none = np.zeros(0, np.int64)
-        return Tokens(none, none, none, none, np.zeros(0, np.uint64))
-    w, first = np.array(hashes, np.uint64), np.cumsum(n) - n
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def stir(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
 
+@lru_cache(1)
+def _byte_codes() -> np.ndarray:
+    """A 64-bit code for each byte; A-Z share those of a-z."""
+    codes = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    codes[65:91] = codes[97:123]
+    return codes
+
+
+@lru_cache(2)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word: a polynomial in an odd base, so that differences of running sums can be divided by its powers."""
+    base = 0x9E3779B97F4A7C15
+    inverse, out = pow(base, -1, 1 << 64), np.empty(len(starts), np.uint64)
+    cuts = np.unique([*np.searchsorted(starts, np.arange(0, len(raw), AT_ONCE)), len(starts)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        lo, hi = starts[a], ends[b - 1]
+        n = -(-int(hi - lo) // AT_ONCE) * AT_ONCE  # few sizes, so that the powers are kept
+        upto = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_byte_codes()[raw[lo:hi]] * _powers(base, n)[: hi - lo], out=upto[1:])
+        out[a:b] = (upto[ends[a:b] - lo] - upto[starts[a:b] - lo]) * _powers(inverse, n)[starts[a:b] - lo]
+    return _stir(_stir(out))
+
+
+def tokens_of(texts: Sequence[bytes | None]) -> Tokens:
+    """Tokenise whole texts (UTF-8); all steps run over all bytes or words of the texts at once."""
+    none = np.zeros(0, np.int64)
+    joined = b"\n".join(t or b"" for t in texts)
+    raw = np.frombuffer(joined, np.uint8) if joined else np.zeros(0, np.uint8)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    newlines = np.flatnonzero(raw == 10)
+    at = np.searchsorted(newlines, starts)
+    row, first, n = np.unique(at, return_index=True, return_counts=True)
+    long = n >= SHINGLE
+    row, n = row[long], n[long]
+    if not len(row):
+        return Tokens(none, none, none, none, np.zeros(0, np.uint64))
+    kept = np.repeat(long, np.diff([*first, len(starts)]))
+    w, first = _word_hashes(raw, starts, ends)[kept], np.cumsum(n) - n
+    begins = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])[:-1]
+    top = np.searchsorted(newlines, begins)  # number of each text's first line
+    text = np.searchsorted(top, row, side="right") - 1
+    mix = np.uint64(0x9E3779B97F4A7C15)
     run = np.zeros(len(w) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
         run = run * mix + w[k : len(w) - SHINGLE + 1 + k]
-    run = stir(run)
+    run = _stir(run)
     inside = np.ones(len(w), bool)
     for k in range(1, SHINGLE):
         inside[first + n - k] = False
     m = n - SHINGLE + 1
     place = np.arange(len(w), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64)
-    ids = stir(np.add.reduceat(stir(w + (place + np.uint64(1)) * mix), first) + n.astype(np.uint64)).view(np.int64)
-    return Tokens(np.array(text, np.int64), np.array(line, np.int64), ids, np.cumsum(m) - m, run[inside[: len(run)]])
+    ids = _stir(np.add.reduceat(_stir(w + (place + np.uint64(1)) * mix), first) + n.astype(np.uint64)).view(np.int64)
+    return Tokens(text, row - top[text], ids, np.cumsum(m) - m, run[inside[: len(run)]])
 
 
 def _sorted_sets(t: Tokens, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,81 +120,87 @@ def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def _token_counts(docs: DataFrame) -> np.ndarray:
-    """Tokens of the whole corpus in each of SKETCH buckets; a task adds up its own and sends at most SKETCH rows."""
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Texts of a batch with the position of the first, about AT_ONCE bytes at a time, so that scratch space stays small."""
+    upto = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64) + 1)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AT_ONCE)))
+        yield i, texts.slice(i, j - i).cast(pa.large_binary()).to_pylist()
+        i = j
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """Lines with tokens, ``id, doc_id, key, line_no``, and for each task the tokens it met in each of SKETCH buckets, ``bucket, n``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total, names, of = np.zeros(SKETCH, np.int64), ["id", "doc_id", "key", "line_no", "bucket", "n"], None
         for part in parts:
-            for some in _slices(part.column(0)):
-                total += np.bincount((tokens_of(some).token & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+            of = part.column("doc_id").type
+            for i, some in _slices(part.column("text")):
+                t = tokens_of(some)
+                total += np.bincount((t.token & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                at, k = pa.array(t.text + i), len(t.id)
+                yield pa.RecordBatch.from_arrays([pa.array(t.id), part.column("doc_id").take(at), part.column("key").take(at), pa.array(t.line.astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
+        if of is not None:
+            at = np.flatnonzero(total)
+            k = len(at)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, of), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros(SKETCH, np.int64)
-    for bucket, n in rows.collect():
-        counts[bucket] = n
-    return counts
+    return _keyed(docs).mapInArrow(run, f"id bigint, doc_id {kind}, key bigint, line_no int, bucket int, n bigint")
 
 
-def _slices(texts: pa.Array, at_once: int = 256) -> Iterator[list[str | None]]:
-    """Texts of a batch, a few hundred at a time, so that scratch space stays small."""
-    for i in range(0, len(texts), at_once):
-        yield texts.slice(i, at_once).to_pylist()
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def _line_rows(docs: DataFrame, ranks: np.ndarray, prefixes: bool) -> DataFrame:
-    """Lines with tokens: ``id, doc_id, key, line_no`` and, if asked, ``size, parity, prefix``."""
+def _line_rows(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """Lines with tokens: ``id, doc_id, key, line_no, size, parity, prefix``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            done = 0
-            for some in _slices(part.column("text")):
+            for i, some in _slices(part.column("text")):
                 t = tokens_of(some)
-                at = pa.array(t.text + done)
-                done += len(some)
+                at = pa.array(t.text + i)
+                of, key = _sorted_sets(t, ranks)
+                sizes = np.bincount(of, minlength=len(t.id))
+                first = np.cumsum(sizes) - sizes
+                bits = np.left_shift(np.uint64(1), (key.view(np.uint64) & np.uint64(63)))
+                parity = np.bitwise_xor.reduceat(bits, first).view(np.int64) if len(first) else np.zeros(0, np.int64)
+                keep = sizes - (sizes * NUM + DEN - 1) // DEN + 1
+                head = np.arange(len(of)) - first[of] < keep[of]
                 columns = [pa.array(t.id), part.column("doc_id").take(at), part.column("key").take(at), pa.array(t.line.astype(np.int32))]
-                names = ["id", "doc_id", "key", "line_no"]
-                if prefixes:
-                    of, key = _sorted_sets(t, ranks)
-                    sizes = np.bincount(of, minlength=len(t.id))
-                    first = np.cumsum(sizes) - sizes
-                    bits = np.left_shift(np.uint64(1), (key.view(np.uint64) & np.uint64(63)))
-                    parity = np.bitwise_xor.reduceat(bits, first).view(np.int64) if len(first) else np.zeros(0, np.int64)
-                    keep = sizes - (sizes * NUM + DEN - 1) // DEN + 1
-                    head = np.arange(len(of)) - first[of] < keep[of]
-                    columns += [pa.array(sizes.astype(np.int32)), pa.array(parity), _lists(of[head], key[head], len(t.id))]
-                    names += ["size", "parity", "prefix"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns += [pa.array(sizes.astype(np.int32)), pa.array(parity), _lists(of[head], key[head], len(t.id))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_id", "key", "line_no", "size", "parity", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    extra = ", size int, parity bigint, prefix array<bigint>" if prefixes else ""
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    return keyed.mapInArrow(run, f"id bigint, doc_id {kind}, key bigint, line_no int{extra}")
+    return _keyed(docs).mapInArrow(run, f"id bigint, doc_id {kind}, key bigint, line_no int, size int, parity bigint, prefix array<bigint>")
 
 
-def _line_sets(docs: DataFrame, ids: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``id, tokens`` of the classes ``ids``, from their first lines (``chosen``: ``id, key, line_no``)."""
-    wanted = durable(chosen.join(ids, "id", "left_semi").groupBy("key").agg(F.collect_set("line_no").alias("wanted")), "line-wanted")
-    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("key"))
-    keyed = keyed.where(_maybe_in(wanted, "key", wanted.count())).join(wanted, "key").select("text", "wanted")
-    none = np.zeros(SKETCH, np.uint8)
+def _line_sets(docs: DataFrame, pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """``id, tokens`` of the classes in ``pairs``, made again from their first lines (``of``: ``id, place``).
+
+    Only texts that hold a wanted line are tokenised and only wanted lines leave a task, as far as constant-size
+    filters tell; the rest is told apart by the join on the place.
+    """
+    ids = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
+    chosen = durable(of.join(ids, "id", "left_semi").select("id", "place.key", "place.line_no", F.xxhash64("place.key", "place.line_no").alias("spot")), "line-chosen")
+    count, none = chosen.count(), np.zeros(SKETCH, np.uint8)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            done = 0
-            for some in _slices(part.column("text")):
+            for i, some in _slices(part.column("text")):
                 t = tokens_of(some)
-                lines = part.column("wanted").slice(done, len(some)).to_pylist()
-                done += len(some)
-                mine = np.array([int(k) in set(lines[i]) for i, k in zip(t.text, t.line, strict=True)], bool)
                 of, key = _sorted_sets(t, none)
-                here = mine[of] if len(of) else np.zeros(0, bool)
-                renumber = np.cumsum(mine) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(t.id[mine]), _lists(renumber[of[here]] if len(of) else of, key[here], int(mine.sum()))], names=["id", "tokens"])
+                columns = [pa.array(t.id), part.column("key").take(pa.array(t.text + i)), pa.array(t.line.astype(np.int32)), _lists(of, key, len(t.id))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "line_no", "tokens"])
 
-    return keyed.mapInArrow(run, "id bigint, tokens array<bigint>").groupBy("id").agg(F.any_value("tokens").alias("tokens"))
+    texts = _keyed(docs).where(_maybe_in(chosen, "key", count))
+    made = texts.mapInArrow(run, "id bigint, key bigint, line_no int, tokens array<bigint>")
+    made = made.withColumn("spot", F.xxhash64("key", "line_no")).where(_maybe_in(chosen, "spot", count))
+    made = made.join(chosen.drop("spot"), ["id", "key", "line_no"], "left_semi")
+    return durable(made.groupBy("id").agg(F.any_value("tokens").alias("tokens")), "line-sets")
 
 
 def _maybe_in(keys: DataFrame, column: str, count: int) -> Column:
@@ -206,10 +233,14 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     all exact, before its sets are compared. A first pass compares each line with the earliest of its token, which settles
     families of copies without their pairs; a second pass compares those left with all earlier lines.
     """
-    ranks = np.minimum(127, 4 * np.log2(_token_counts(docs) + 1)).astype(np.uint8)  # four steps for each doubling
+    places = durable(_places(docs), "line-places")
+    counts = places.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(SKETCH, np.int64)
+    total[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    ranks = np.minimum(127, 4 * np.log2(total + 1)).astype(np.uint8)  # four steps for each doubling
     place = F.struct("doc_id", "key", "line_no")
     some = lambda c: F.any_value(c).alias(c)  # noqa: E731  the same for all lines of a class
-    rows = _line_rows(docs, ranks, True)
+    rows = _line_rows(docs, ranks)
     classes = durable(rows.groupBy("id").agg(F.min(place).alias("place"), some("size"), some("parity"), some("prefix")), "line-classes")
 
     token = Window.partitionBy("t")
@@ -220,7 +251,6 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     n_ids = ids.count()
     maybe = _maybe_in(ids, "id", n_ids)
     of = classes.where(maybe).select("id", "place", "size", "parity")
-    sets = durable(_line_sets(docs, ids, of.select("id", "place.key", "place.line_no")), "line-sets")
     shared = durable(shared.join(of, "id"), "line-candidates")
 
     def fits(a: str, b: str) -> Column:
@@ -236,16 +266,17 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     whole = F.struct("place", "id", "size", "parity", "pos")
     star = shared.withColumn("mine", whole).withColumn("hub", F.min("mine").over(token))
     star = star.where((F.col("hub.id") != F.col("id")) & fits("hub", "mine")).select(F.col("hub.id").alias("early"), F.col("id").alias("late")).distinct()
-    first = durable(_verified(star, sets).select(F.col("late").alias("id")).distinct(), "line-first")
+    star = durable(star, "line-star")
+    first = durable(_verified(star, _line_sets(docs, star, of)).select(F.col("late").alias("id")).distinct(), "line-first")
     later = shared.join(first, "id", "left_anti").withColumn("mine", whole).select("t", "mine")
     earlier = shared.withColumn("other", whole).select("t", "other")
     pairs = later.join(earlier, "t").where((F.col("other.place") < F.col("mine.place")) & fits("other", "mine"))
-    pairs = pairs.select(F.col("other.id").alias("early"), F.col("mine.id").alias("late")).distinct()
-    second = _verified(pairs, sets).select(F.col("late").alias("id")).distinct()
+    pairs = durable(pairs.select(F.col("other.id").alias("early"), F.col("mine.id").alias("late")).distinct(), "line-pairs")
+    second = _verified(pairs, _line_sets(docs, pairs, of)).select(F.col("late").alias("id")).distinct()
     gone = durable(first.unionByName(second), "line-gone")
 
     whose = classes.select("id", "place").join(gone.withColumn("gone", F.lit(True)), "id", "left")
-    found = _line_rows(docs, ranks, False).select("id", place.alias("here")).join(whose, "id")
+    found = places.where("bucket is null").select("id", place.alias("here")).join(whose, "id")
     found = found.where((F.col("here") != F.col("place")) | F.col("gone"))
     return found.select("here.key", "here.line_no").distinct()
 
