@@ -113,10 +113,30 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``docs`` are ignored, whatever their names. An empty table gives no rows.
     """
     marked = durable(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", words, seed), "simhash-fp")
-    classes = durable(marked.groupBy("fp").agg(F.min("_id").alias("first")), "simhash-classes")
-    nodes = connected_components(links(classes.select("fp")))
-    tied = classes.join(nodes.select(F.col("node").alias("fp"), "component"), "fp", "left")
-    tied = tied.select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    tied = _tied(marked)
     lows = tied.groupBy("component").agg(F.min("first").alias("component_id"))
     of = tied.join(lows, "component").select("fp", "component_id")
     return marked.join(of, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _tied(marked: DataFrame) -> DataFrame:
+    """``fp, first, component`` of every distinct fingerprint of ``marked`` (``_id, fp``): its smallest id and its group's smallest fingerprint."""
+    classes = durable(marked.groupBy("fp").agg(F.min("_id").alias("first")), "simhash-classes")
+    nodes = connected_components(links(classes.select("fp")))
+    tied = classes.join(nodes.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    return tied.select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each SimHash group, with all columns.
+
+    It is the row with the smallest id; rows without an id come after all others, and rows of one id are told
+    apart by a hash of the text. Groups are told apart by their fingerprints, so neither null nor repeated ids join them.
+    """
+    mark = F.xxhash64(F.col(text_col), F.col(text_col).isNull())
+    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), mark.alias("mark"))
+    marked = durable(fingerprints(docs.select(row.alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", words, seed), "simhash-fp")
+    kept = _tied(marked).groupBy("component").agg(F.min("first").alias("_row")).select(F.col("_row.id").alias("_kept"), F.col("_row.mark").alias("_kept_mark"))
+    rows = docs.withColumn("_mark", mark)
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
+    return rows.dropDuplicates([id_col, "_mark"]).drop("_mark")

@@ -32,10 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group, once if its row is repeated."""
-    groups = simhash.simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each SimHash group, once if its row is repeated; ids may be null or shared."""
+    return simhash.one_per_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

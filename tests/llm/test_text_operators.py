@@ -50,6 +50,19 @@ def test_simhash_groups_match_brute_force(spark):
     assert simhash.simhash_groups(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_simhash_group(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    a, b, c, d, e = (random_text(rng, 400) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, c), (5, d), (5, e), (5, e), (6, e), (4, d), (None, None), (8, "")]
+    docs = frame(spark, [(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(found) == 6 and set(found) == {(None, a), (None, b), (7, c), (4, d), (5, e), (8, "")}
+
+
 def test_simhash_grid_finds_every_link(spark):
     rng = np.random.default_rng(1)
     made = {int(x) for x in rng.integers(-(1 << 63), 1 << 63, 200)}
