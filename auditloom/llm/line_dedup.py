@@ -35,7 +35,8 @@ class Tokens(NamedTuple):
     line: np.ndarray
     id: np.ndarray
     starts: np.ndarray  # of each line in ``token``
-    token: np.ndarray  # unsigned hashes of runs of SHINGLE words, repeats included
+    token: np.ndarray  # unsigned hashes of runs of SHINGLE words (of all words of a shorter line), repeats included
+    long: np.ndarray  # whether each line has SHINGLE words; the token of a shorter one is met in its own class only
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -70,8 +71,11 @@ def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _stir(_stir(out))
 
 
-def tokens_of(texts: Sequence[bytes | None]) -> Tokens:
-    """Tokenise whole texts (UTF-8); all steps run over all bytes or words of the texts at once."""
+def tokens_of(texts: Sequence[bytes | None], short_lines: bool = False) -> Tokens:
+    """Tokenise whole texts (UTF-8); all steps run over all bytes or words of the texts at once.
+
+    With ``short_lines``, all words of a line of fewer than SHINGLE words are its single token; else it has none.
+    """
     none = np.zeros(0, np.int64)
     joined = b"\n".join(t or b"" for t in texts)
     raw = np.frombuffer(joined, np.uint8) if joined else np.zeros(0, np.uint8)
@@ -82,27 +86,31 @@ def tokens_of(texts: Sequence[bytes | None]) -> Tokens:
     newlines = np.flatnonzero(raw == 10)
     at = np.searchsorted(newlines, starts)
     row, first, n = np.unique(at, return_index=True, return_counts=True)
-    long = n >= SHINGLE
-    row, n = row[long], n[long]
+    used = n >= (1 if short_lines else SHINGLE)
+    kept = np.repeat(used, n)
+    row, n = row[used], n[used]
     if not len(row):
-        return Tokens(none, none, none, none, np.zeros(0, np.uint64))
-    kept = np.repeat(long, np.diff([*first, len(starts)]))
+        return Tokens(none, none, none, none, np.zeros(0, np.uint64), none.astype(bool))
     w, first = _word_hashes(raw, starts, ends)[kept], np.cumsum(n) - n
     begins = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])[:-1]
     top = np.searchsorted(newlines, begins)  # number of each text's first line
     text = np.searchsorted(top, row, side="right") - 1
     mix = np.uint64(0x9E3779B97F4A7C15)
-    run = np.zeros(len(w) - SHINGLE + 1, np.uint64)
+    place = np.arange(len(w), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64)
+    ids = _stir(np.add.reduceat(_stir(w + (place + np.uint64(1)) * mix), first) + n.astype(np.uint64))
+    padded = np.concatenate([w, np.zeros(SHINGLE - 1, np.uint64)])
+    run = np.zeros(len(w), np.uint64)
     for k in range(SHINGLE):
-        run = run * mix + w[k : len(w) - SHINGLE + 1 + k]
+        run = run * mix + padded[k : len(w) + k]
     run = _stir(run)
-    inside = np.ones(len(w), bool)
+    long = n >= SHINGLE
+    inside = np.repeat(long, n)
     for k in range(1, SHINGLE):
-        inside[first + n - k] = False
-    m = n - SHINGLE + 1
-    place = np.arange(len(w), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64)
-    ids = _stir(np.add.reduceat(_stir(w + (place + np.uint64(1)) * mix), first) + n.astype(np.uint64)).view(np.int64)
-    return Tokens(text, row - top[text], ids, np.cumsum(m) - m, run[inside[: len(run)]])
+        inside[(first + n - k)[long]] = False
+    inside[first[~long]] = True
+    run[first[~long]] = ids[~long]
+    m = np.maximum(n - SHINGLE + 1, 1)
+    return Tokens(text, row - top[text], ids.view(np.int64), np.cumsum(m) - m, run[inside], long)
 
 
 def _sorted_sets(t: Tokens, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +138,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
         i = j
 
 
-def _places(docs: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, short_lines: bool) -> DataFrame:
     """Lines with tokens, ``id, doc_id, key, line_no``, and for each task the tokens it met in each of SKETCH buckets, ``bucket, n``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -139,8 +147,9 @@ def _places(docs: DataFrame) -> DataFrame:
         for part in parts:
             of = part.column("doc_id").type
             for i, some in _slices(part.column("text")):
-                t = tokens_of(some)
-                total += np.bincount((t.token & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                t = tokens_of(some, short_lines)
+                shared = t.token[np.repeat(t.long, np.diff([*t.starts, len(t.token)]))]
+                total += np.bincount((shared & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 at, k = pa.array(t.text + i), len(t.id)
                 yield pa.RecordBatch.from_arrays([pa.array(t.id), part.column("doc_id").take(at), part.column("key").take(at), pa.array(t.line.astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
         if of is not None:
@@ -155,13 +164,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def _line_rows(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
+def _line_rows(docs: DataFrame, ranks: np.ndarray, short_lines: bool) -> DataFrame:
     """Lines with tokens: ``id, doc_id, key, line_no, size, parity, prefix``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i, some in _slices(part.column("text")):
-                t = tokens_of(some)
+                t = tokens_of(some, short_lines)
                 at = pa.array(t.text + i)
                 of, key = _sorted_sets(t, ranks)
                 sizes = np.bincount(of, minlength=len(t.id))
@@ -169,7 +178,7 @@ def _line_rows(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 bits = np.left_shift(np.uint64(1), (key.view(np.uint64) & np.uint64(63)))
                 parity = np.bitwise_xor.reduceat(bits, first).view(np.int64) if len(first) else np.zeros(0, np.int64)
                 keep = sizes - (sizes * NUM + DEN - 1) // DEN + 1
-                head = np.arange(len(of)) - first[of] < keep[of]
+                head = (np.arange(len(of)) - first[of] < keep[of]) & t.long[of]
                 columns = [pa.array(t.id), part.column("doc_id").take(at), part.column("key").take(at), pa.array(t.line.astype(np.int32))]
                 columns += [pa.array(sizes.astype(np.int32)), pa.array(parity), _lists(of[head], key[head], len(t.id))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_id", "key", "line_no", "size", "parity", "prefix"])
@@ -222,7 +231,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * DEN >= (F.size("a") + F.size("b") - common) * NUM).select("early", "late")
 
 
-def matched_lines(docs: DataFrame) -> DataFrame:
+def matched_lines(docs: DataFrame, short_lines: bool = False) -> DataFrame:
     """Lines to remove: ``key, line_no`` of every line that matches an earlier one.
 
     Lines come in the order of document id, document and line number. Equal lines form a class, of which all but the
@@ -233,14 +242,14 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     all exact, before its sets are compared. A first pass compares each line with the earliest of its token, which settles
     families of copies without their pairs; a second pass compares those left with all earlier lines.
     """
-    places = durable(_places(docs), "line-places")
+    places = durable(_places(docs, short_lines), "line-places")
     counts = places.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(SKETCH, np.int64)
     total[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     ranks = np.minimum(127, 4 * np.log2(total + 1)).astype(np.uint8)  # four steps for each doubling
     place = F.struct("doc_id", "key", "line_no")
     some = lambda c: F.any_value(c).alias(c)  # noqa: E731  the same for all lines of a class
-    rows = _line_rows(docs, ranks)
+    rows = _line_rows(docs, ranks, short_lines)
     classes = durable(rows.groupBy("id").agg(F.min(place).alias("place"), some("size"), some("parity"), some("prefix")), "line-classes")
 
     token = Window.partitionBy("t")
@@ -281,18 +290,19 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     return found.select("here.key", "here.line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """Remove every line that repeats an earlier one, exactly or nearly: adds ``n_lines`` and ``n_removed``, changes the text.
 
     Two lines match if their sets of 5-word shingles (words between ASCII white space, A-Z lower-cased) have a
-    Jaccard similarity of 0.8 or more; lines under five words have none and always stay. Earlier means a smaller document id, or the
+    Jaccard similarity of 0.8 or more. Lines of one to four words have no shingle: with ``short_lines`` they match if their words
+    are the same, without it they always stay. Lines without words always stay. Earlier means a smaller document id, or the
     same document and a smaller line number; null ids come first. A null text stays null and has no lines to
     remove; an empty one has one empty line. Rows equal in id and text are one document listed twice and keep the same lines.
     Other columns stay; those named like a result are replaced. An empty table gives no rows.
     """
     base = docs.drop("n_lines", "n_removed")
     slim = base.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = durable(matched_lines(slim), "line-removed")
+    lines = durable(matched_lines(slim, short_lines), "line-removed")
     word = F.floor(F.col("line_no") / 64).cast("int").alias("word")
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("line_no") % 64)).alias("bits")
     masks = lines.groupBy("key", word).agg(bits, F.count("*").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_mask"), F.sum("n").alias("_n"))

@@ -47,7 +47,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deduped = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    deduped = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     return deduped.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -179,6 +179,19 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_removes_repeated_short_lines(spark):
+    import corpus_pipeline
+
+    five = "one two three four five"
+    rows = [(1, "Yes\n\nAll rights reserved.\nyes\n" + five), (2, "all  RIGHTS reserved.\n\nreserved. rights all\none two three four"), (3, "\tyes "), (4, f"one two three four\n{five}\nfive"), (None, "five")]
+    docs = frame(spark, [(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs, short_lines=True).collect()}
+    assert got == {
+        1: ("Yes\n\nAll rights reserved.\n" + five, 5, 1), 2: ("\nreserved. rights all\none two three four", 4, 1), 3: ("", 1, 1), 4: ("", 3, 3), None: ("five", 1, 0),
+    }
+    assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1, 2, None}
+
+
 def test_toxicity_learns_stems(spark):
     rng, rows, labels = np.random.default_rng(5), [], []
     for i in range(300):
