@@ -22,6 +22,8 @@ THRESHOLD = 0.3
 WINDOW = 96
 #: A window of fewer distinct words counts as filled up to this many by words that say nothing.
 LEAST_WORDS = 64
+#: Characters of a word with its marked ends that are taken at once; longer ones are cut into overlapping pieces.
+PIECE = 42
 BUCKETS, DIM = 1 << 18, 4
 #: Word scores a worker keeps; a fuller store starts anew.
 CACHED_WORDS = 300_000
@@ -35,12 +37,19 @@ _WORDS = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Words of a text with their ends marked; longer runs of word characters (phrases without spaces) as pieces of PIECE characters.
+
+    Pieces overlap by four characters, so that every n-gram of a run is in one.
+    """
+    found = []
+    for word in _WORDS.findall(text.lower()):
+        raw = f"<{word}>"
+        found += [raw] if len(raw) <= PIECE else [raw[i : i + PIECE] for i in range(0, len(raw) - 4, PIECE - 4)]
+    return found
 
 
-def grams(word: str, buckets: int) -> list[int]:
-    """Buckets of the character 3- to 5-grams of a word with its ends marked, and of the word itself."""
-    raw = f"<{word[:40]}>"
+def grams(raw: str, buckets: int) -> list[int]:
+    """Buckets of the character 3- to 5-grams of a word or piece as ``words_of`` gives it."""
     found = [raw[i : i + n] for n in (3, 4, 5) for i in range(len(raw) - n + 1)] or [raw]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in found]
 
@@ -71,8 +80,8 @@ def train(texts: list[str], labels: np.ndarray, window: int = WINDOW, buckets: i
     """Fit n-gram embeddings and softmax jointly by mini-batch adaptive gradient descent.
 
     A window's embedding is the average over its distinct words (one word repeated endlessly says no more than once)
-    of the average over each word's n-grams. The windows' log-odds are joined by a soft maximum: one abusive passage
-    makes a text toxic however long it is. Classes weigh the same. Steps shrink as gradients add up.
+    of the average over each word's n-grams. The largest log-odds of its windows are a text's: one abusive passage
+    makes a text toxic however long it is. In training windows share the step by a soft maximum. Classes weigh the same. Steps shrink as gradients add up.
     """
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
@@ -113,8 +122,7 @@ def train(texts: list[str], labels: np.ndarray, window: int = WINDOW, buckets: i
             top = np.maximum.reduceat(odds, starts)
             soft = np.exp(SHARP * (odds - np.repeat(top, sizes)))
             total = np.add.reduceat(soft, starts)
-            joined = top + np.log(total / sizes) / SHARP
-            p = 1 / (1 + np.exp(-np.clip(joined, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(top, -30, 30)))
             push = (np.repeat((p - labels[batch]) * balance[batch] / len(batch) / total, sizes) * soft).astype(np.float32)
             grad = np.stack([-push, push], 1)
             back = of_word.spread(of_window.spread((grad @ weight.T) * SCALE))
@@ -168,8 +176,7 @@ def text_odds(text: str, scores: np.ndarray, offset: float, cache: dict[str, flo
         cache.clear()
     if not odds:
         return offset
-    top = max(odds)
-    return offset + top + math.log(sum(math.exp(SHARP * (o - top)) for o in odds) / len(odds)) / SHARP
+    return offset + max(odds)
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:

@@ -208,6 +208,21 @@ def test_toxicity_learns_stems(spark):
     assert held and np.mean([(r.doc_id % 3 == 0) == bool(r.predicted) for r in held]) > 0.9
 
 
+def test_toxicity_reads_long_runs_and_single_windows_whole():
+    run = "".join(chr(0x4E00 + i) for i in range(1000))
+    scores = np.zeros(1 << 18, np.float32)
+    for n in (39, 40, 41, 42, 43, 44, 79, 80, 81, 82, 1000):
+        raw = f"<{run[:n]}>"
+        made = {x[i : i + k] for x in toxicity.words_of(run[:n]) for k in (3, 4, 5) for i in range(len(x) - k + 1)}
+        assert made == {raw[i : i + k] for k in (3, 4, 5) for i in range(len(raw) - k + 1)}
+    scores[zlib.crc32(run[700:705].encode()) % len(scores)] = 1
+    assert toxicity.text_odds(run, scores, 0.0, {}) > toxicity.text_odds(run[:40], scores, 0.0, {}) == 0
+    bad = " ".join(f"grumf{i}x" for i in range(96))
+    scores[toxicity.grams("<grumf", len(scores))] = 1
+    alone = toxicity.text_odds(bad, scores, -1.0, {})
+    assert all(toxicity.text_odds(bad + " clean" * 96 * n, scores, -1.0, {}) >= alone > -0.9 for n in (1, 10, 200))
+
+
 @pytest.mark.parametrize("text", ["a  b", " a", "a ", "x\n\n y", "", "日本 語", "it's <|endoftext|>"])
 def test_encoder_equals_tokenizer(text):
     encode = packing.encoder(packing.default_tokenizer())
