@@ -19,8 +19,10 @@ from auditloom.llm.url_filter import host_path
 
 #: Consecutive pages of a host that one alignment task group takes.
 CHUNK = 256
-#: A neighbour that shares more than this part of a page's lines is a copy of it, not a sibling with the same template.
+#: A neighbour that shares more than this part of a page's lines may be a near copy; such lines need a third page that has them.
 COPY_SHARE = 0.5
+#: Pages on either side of a page among which its neighbours and those third pages are found.
+REACH = 4
 
 _TAG = re.compile(r"""<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>")
@@ -179,28 +181,35 @@ def _align(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rank", kind="stable")
     hosts, paths, ranks, own = pdf["host"].tolist(), pdf["path"].tolist(), pdf["rank"].tolist(), pdf["own"].tolist()
     lines = [list(map(int, x)) for x in pdf["lines"]]
-    keys, found = pdf["key"].tolist(), []
+    sets, same, found = [frozenset(x) for x in lines], pdf["same"].tolist(), []
     for i in range(len(pdf)):
-        if not own[i] or not lines[i]:
+        if not own[i]:
             continue
-        near = [j for j in (i - 1, i + 1) if 0 <= j < len(pdf) and hosts[j] == hosts[i] and abs(ranks[j] - ranks[i]) == 1]
-        near.sort(key=lambda j: (-_alike(paths[i], paths[j]), j))
-        for j in near:
-            shared = shared_lines(lines[i], lines[j])
-            if len(shared) <= COPY_SHARE * len(lines[i]):
-                if shared:
-                    found.append((keys[i], shared))
-                break
-    return pd.DataFrame(found, columns=["key", "shared"])
+        near = []
+        for side in (range(i - 1, max(-1, i - REACH - 1), -1), range(i + 1, min(len(pdf), i + REACH + 1))):
+            others = [j for j in side if hosts[j] == hosts[i] and abs(ranks[j] - ranks[i]) <= REACH and sets[j] != sets[i]]
+            near += [(n, -_alike(paths[i], paths[j]), j) for n, j in enumerate(others)]
+        if not near:
+            continue
+        first, *rest = [j for *_, j in sorted(near)]
+        shared, rest = shared_lines(lines[i], lines[first]), [j for j in rest if sets[j] != sets[first]]
+        if rest and len(shared) > COPY_SHARE * len(lines[i]):
+            known = frozenset().union(*(sets[j] for j in rest))
+            shared = [p for p in shared if lines[i][p] in known]
+        if shared:
+            found.append((same[i], shared))
+    return pd.DataFrame(found, columns=["same", "shared"])
 
 
 def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Lines outside of a marked article that a page shares with its nearest page: ``key, shared``.
 
-    Pages of a host are ordered by path and id. A page's nearest one is that of its two neighbours in this order whose
-    path starts like its own for longer, unless that is a copy. Texts travel as hashes of lines. The order is made by a
-    range sort over all hosts, and ranks are cut into chunks of fixed size that overlap by one page, so a host
-    with a third of all pages is spread like any other.
+    Pages of a host with equal lines are copies and count as one, that of the smallest path; all take its result. These
+    are ordered by path and id, and a page's nearest one is that of its two neighbours in this order whose path starts like
+    its own for longer. Lines shared with it are the template's, whatever their share; if they are most of the page, which
+    may then be a near copy, only those that a third page within REACH also has, unless there is none. Texts travel as hashes of
+    lines. The order is made by a range sort over all hosts, and ranks are cut into chunks of fixed size that overlap by
+    REACH pages, so a host with a third of all pages is spread like any other.
     """
     host, path = host_path(F.col(url_col))
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
@@ -217,8 +226,10 @@ def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     kind = pages.schema[id_col].dataType.simpleString()
     slim = pages.select(key.alias("key"), F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("_html"))
     signed = slim.mapInArrow(hashed, f"key bigint, id {kind}, host string, path string, lines array<bigint>")
-    signed = durable(signed.where((F.size("lines") > 0)), "page-lines")
-    ordered = signed.repartitionByRange("host", "path", "id", "key").sortWithinPartitions("host", "path", "id", "key")
+    signed = durable(signed.where((F.size("lines") > 0)).withColumn("same", F.xxhash64("host", "lines")), "page-lines")
+    least = F.min(F.struct("path", "id", "key")).alias("least")
+    distinct = signed.groupBy("same").agg(F.any_value("host").alias("host"), F.any_value("lines").alias("lines"), least).select("same", "host", "least.*", "lines")
+    ordered = distinct.repartitionByRange("host", "path", "id", "key").sortWithinPartitions("host", "path", "id", "key")
     ordered = durable(ordered.withColumn("at", F.monotonically_increasing_id()), "page-order")
     part = F.shiftrightunsigned("at", 33).alias("part")
     sizes = ordered.groupBy(part).agg(F.count("*").alias("n"))  # one row per partition of the sort
@@ -226,11 +237,12 @@ def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = ordered.withColumn("part", part).join(F.broadcast(offsets), "part")
     rank = (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("offset")).alias("rank")
-    ranked = ranked.select("key", "host", "path", "lines", rank)
+    ranked = ranked.select("same", "host", "path", "lines", rank)
     home = F.floor(F.col("rank") / CHUNK).cast("bigint")
-    edge = F.array(home, F.when(F.col("rank") % CHUNK == 0, home - 1), F.when(F.col("rank") % CHUNK == CHUNK - 1, home + 1))
+    edge = F.array(home, F.when(F.col("rank") % CHUNK < REACH, home - 1), F.when(F.col("rank") % CHUNK >= CHUNK - REACH, home + 1))
     dealt = ranked.withColumn("chunk", F.explode(F.array_compact(edge))).withColumn("own", F.col("chunk") == home)
-    found = dealt.groupBy("chunk").applyInPandas(_align, "key bigint, shared array<int>")
+    found = dealt.groupBy("chunk").applyInPandas(_align, "same bigint, shared array<int>")
+    found = signed.select("key", "same").join(found, "same")
     return found.groupBy("key").agg(F.min("shared").alias("shared"))
 
 
@@ -239,7 +251,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Blocks of a marked article (or main element) are the text. Where a page marks none, the text is every block
     that element names and marks don't tell apart, less the lines that the page shares, in order, with the page of the
-    nearest url on its host. Blocks are joined by one newline. Null html counts as empty and gives an empty text; a
+    nearest url on its host that is not a copy (see ``template_lines``). Blocks are joined by one newline. Null html counts as empty and gives an empty text; a
     null url has an empty host, like any other without ``://``. Repeated rows stay, each with the same result;
     other columns are ignored; an empty table gives no rows.
     """

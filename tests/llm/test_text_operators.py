@@ -109,6 +109,18 @@ def test_html_differencing_removes_shared_lines(spark):
     assert got[3] == "3 own\nmore 3\nstill 3" and got[9] == "" and got[10].startswith("Site name")
 
 
+def test_html_differencing_removes_a_template_of_most_lines(spark):
+    page = lambda *own: "<body>" + "".join(f"<div>{x}</div>" for x in ("Site", "Offer", *own, "Imprint", "Terms", "Contact")) + "</body>"
+    urls = [(i, f"http://h.org/a/{i:02}", page(f"text {i}", f"more {i}", f"still {i}")) for i in range(8)]
+    urls += [(20 + i, f"http://h.org/a/03/{i:02}", urls[3][2]) for i in range(12)]  # copies of page 3, next to it
+    urls += [(40, "http://h.org/a/05/x", page("text 5", "more 5", "still 5", "dated"))]  # a near copy of page 5
+    urls += [(50 + i, f"http://two.org/{i}", page(f"only {i}")) for i in range(2)] + [(60, "http://one.org/", page("lone")), (61, "http://one.org/b", page("lone"))]
+    got = {r.page_id: r.text for r in html_text.extract_text(frame(spark, urls, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}\nmore {i}\nstill {i}" for i in range(8))
+    assert all(got[20 + i] == got[3] for i in range(12)) and got[40] == "text 5\nmore 5\nstill 5\ndated"
+    assert got[50] == "only 0" and got[51] == "only 1" and got[60] == got[61] and got[60].startswith("Site\nOffer\nlone")
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
