@@ -12,7 +12,7 @@ from auditloom.operators import bootstrap, completeness, mahalanobis, rank, stat
 from auditloom.plans import audit
 from auditloom.session import cut_lineage, table
 
-REPLICATES = 100
+REPLICATES = bootstrap.REPLICATES
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:

@@ -64,3 +64,11 @@ def test_scorer_closed_form_and_norms():
     assert np.allclose(s.score(x), np.einsum("ij,jk,ik->i", d, np.linalg.inv(shrunk), d)) and len(s.loo_scores(x)) == 6
     with pytest.raises(ValueError, match="unknown"):
         Scorer("max")
+
+
+def test_bootstrap_queries_take_all_replicates(spark):
+    from auditloom.plans import queries
+
+    for name in ("bootstrap_ci", "paired_tests"):
+        got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert got and all(r.n_boot == bootstrap.REPLICATES == 2000 for r in got)
