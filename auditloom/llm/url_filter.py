@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import LOWER, UPPER, durable
 
-#: A level's bit array is embedded in the plan as one value; lists that need more are refused, never truncated.
+#: A level's bit array is embedded in the plan as one value; lists that need more are split by hash into several cascades.
 MAX_LEVEL_BITS = 1 << 24
 MAX_LEVELS = 64
 
@@ -49,12 +49,17 @@ class Level(NamedTuple):
         return F.forall(F.sequence(F.lit(0), F.lit(self.hashes - 1)), is_set)
 
 
+def level_bits(count: int, rate: float) -> int:
+    """Size of a Bloom filter of ``count`` keys."""
+    return max(64, -(-math.ceil(count * 1.4427 * math.log2(1 / rate)) // 64) * 64)
+
+
 def build_level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
     """A Bloom filter of the column ``key``; bits are or-ed in partial aggregates, and the bytes, at most
     ``MAX_LEVEL_BITS / 7``, become a constant of the plan."""
-    bits = max(64, -(-math.ceil(count * 1.4427 * math.log2(1 / rate)) // 64) * 64)
+    bits = level_bits(count, rate)
     if bits > MAX_LEVEL_BITS:
-        raise ValueError(f"a level of {bits} bits exceeds {MAX_LEVEL_BITS}: split the list by key and cascade each part")
+        raise ValueError(f"a level of {bits} bits exceeds {MAX_LEVEL_BITS}: build_cascade splits such lists")
     hashes = max(1, round(bits / max(1, count) * 0.6931)) if count > 8 else max(1, round(math.log2(1 / rate)))
     pos = F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: _position(F.col("key"), F.lit(salt), i, F.lit(bits).cast("bigint"))))
     # 63 bits to a row, then seven to a byte
@@ -85,11 +90,33 @@ class Cascade:
         return F.coalesce(status, F.lit(False))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 17) -> Cascade:
+class SplitCascade:
+    """Cascades over the parts of a universe that a hash deals out; as exact as each of them."""
+
+    def __init__(self, parts: list[Cascade | SplitCascade], salt: int):
+        self.parts, self.salt = parts, salt
+
+    @property
+    def levels(self) -> list[Level]:
+        return [level for part in self.parts for level in part.levels]
+
+    def contains(self, key: Column) -> Column:
+        of, found = _part(key, self.salt, len(self.parts)), F.lit(False)
+        for i, part in enumerate(self.parts):
+            found = F.when(of == i, part.contains(key)).otherwise(found)
+        return found
+
+
+def _part(key: Column, salt: int, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(f"part {salt}")), F.lit(parts))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 17) -> Cascade | SplitCascade:
     """Cascade of ``listed.key`` over ``universe.key`` (both distinct, no nulls). An empty list needs no level.
 
     The first level's false-positive rate is chosen so that its false positives are about as many as the listed
-    keys, which keeps all levels together within a small multiple of the list; the others use one half.
+    keys, which keeps all levels together within a small multiple of the list; the others use one half. Where a level would
+    exceed ``MAX_LEVEL_BITS``, the keys are split by hash into parts that each have a cascade.
     """
     inside = durable(listed.select("key"), "listed")
     outside = durable(universe.select("key").join(inside, "key", "left_anti"), "unlisted")
@@ -100,6 +127,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 17) -> Cas
     while counts[0]:
         if len(levels) == MAX_LEVELS:
             raise RuntimeError("cascade did not end")
+        if (bits := level_bits(counts[0], rate)) > MAX_LEVEL_BITS:
+            n = max(2, math.ceil(1.1 * bits / MAX_LEVEL_BITS))
+            of = _part(F.col("key"), seed, n)
+            whole = inside.unionByName(outside)
+            return SplitCascade([build_cascade(inside.where(of == i), whole.where(of == i), seed + 1) for i in range(n)], seed)
         levels.append(build_level(sides[0], counts[0], rate, seed + 1000 * len(levels)))
         passed, left = sides[1], 0
         if counts[1]:

@@ -96,6 +96,15 @@ def test_cascade_is_exact(spark):
     assert wrong.count() == 0 and len(cascade.levels) > 1
 
 
+def test_cascade_splits_lists_past_the_level_bound(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LEVEL_BITS", 512)
+    universe = spark.range(2000).selectExpr("cast(id as string) as key")
+    cascade = url_filter.build_cascade(universe.where("cast(key as int) % 7 = 0"), universe)
+    assert isinstance(cascade, url_filter.SplitCascade) and max(x.bits for x in cascade.levels) <= 512
+    found = universe.select("key", cascade.contains(universe.key).alias("found"))
+    assert found.where(found.found != (found.key.cast("int") % 7 == 0)).count() == 0
+
+
 def test_html_blocks():
     page = '<body><div class="menu">M</div><article><header><h1>T &amp; x</h1></header><p class="ad">buy<p>one<br>two&nbsp;3<div class="comments">c<div>d</div></div></article><p>out</p></body>'
     assert [b.text for b in html_text.parse(page) if b.inside] == ["T & x", "one two 3"]

@@ -72,3 +72,19 @@ def test_bootstrap_queries_take_all_replicates(spark):
     for name in ("bootstrap_ci", "paired_tests"):
         got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
         assert got and all(r.n_boot == bootstrap.REPLICATES == 2000 for r in got)
+
+
+def test_mahalanobis_downdates_equal_refits(spark):
+    from auditloom.operators import mahalanobis
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(3, [1, 2, 0.1, 5, 0], (60, 5))
+    x[7, 4] += 1  # without this row the last column is constant
+    rows = [(i, [float(v) for v in r], i < 40) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "case_id long, v array<double>, ref boolean")
+    for norm in ("l2", "zscore"):
+        got = {r.case_id: r.md2 for r in mahalanobis.mahalanobis(frame, F.col("ref"), norm).collect()}
+        want = [*Scorer(norm).loo_scores(x[:40]), *Scorer(norm).fit(x[:40]).score(x[40:])]
+        assert np.allclose([got[i] for i in range(60)], want, rtol=1e-6)
+    many = spark.range(20_101).select(F.col("id").alias("case_id"), F.array(F.rand(1), F.rand(2)).alias("v"))
+    assert mahalanobis.mahalanobis(many, F.col("case_id") > 0, "l2").where("md2 >= 0").count() == 20_101
