@@ -63,7 +63,7 @@ def wide_scores(cases: DataFrame, scores: DataFrame, methods: list[str]) -> Data
 
 
 def complete_scores(cases: DataFrame, scores: DataFrame, methods: DataFrame, sites: DataFrame) -> DataFrame:
-    """The input of an evaluation: evaluated cases of usable sites times complete methods (O-87, O-105)."""
+    """The input of an evaluation: evaluated cases of usable sites times complete methods."""
     usable = labelled_sites(sites, cases).where("usable").select("site", "site_pos")
     kept = complete_methods(methods, cases.join(usable, "site", "left_semi"), scores).where("complete").select("method")
     rows = evaluated(cases).join(F.broadcast(usable), "site").join(scores.select("case_id", "site", "method", "score"), ["case_id", "site"])

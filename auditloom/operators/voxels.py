@@ -39,7 +39,7 @@ def ensemble_dice(n_a: Column, n_b: Column, n_both: Column) -> Column:
 
 
 def risk_dice(prediction: DataFrame, truth: DataFrame) -> DataFrame:
-    """Dice of each case against its truth; cases without one are absent (O-49, O-50)."""
+    """Dice of each case against its truth; cases without one are absent (O-49)."""
     dice = strict_dice(F.col("n_a"), F.col("n_b"), F.col("n_both")).alias("dice")
     return overlap(prediction, truth, ["case_id"]).select("case_id", dice).where("dice is not null")
 
