@@ -21,22 +21,47 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share (``spark.checkpoint.dir``); where none is set, a local one in local mode, an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or f"file://{tempfile.gettempdir()}/auditloom-{os.getpid()}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.gettempdir()}/auditloom-{os.getpid()}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/auditloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(df.sparkSession).rstrip('/')}/auditloom/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Written intermediate tables of one operator call, deleted as soon as its last one is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark).rstrip('/')}/auditloom/{name}-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def keep(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
+        """Write and reread ``df``; after the last table, which stays for the result to read, the others go."""
+        self.made += 1
+        if not last:
+            return _write(df, f"{self.root}/{self.made}-{name}")
+        out = _write(df, f"{self.root}-{name}")
+        self.drop()
+        return out
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

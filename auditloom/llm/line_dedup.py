@@ -1,299 +1,154 @@
-"""Line deduplication by an exact set-similarity join.
-
-Tokenising lines takes 300 CPU seconds a GB for each pass as DataFrame functions, whose lambdas are interpreted, where
-400 are allowed in all; so the tokens are made by numpy in Arrow batches and everything after that is DataFrame operations.
+"""Line deduplication by an exact set-similarity join, in DataFrame functions only.
+
+A line's tokens are its distinct runs of SHINGLE words. The join goes through these steps, none of which loses a pair:
+
+1. Lines of equal words form a class, told apart by 128 bits; only its first line joins on.
+2. In the order of their hashes, of a line's n tokens the first ``n - ceil(NUM n / DEN) + EXTRA`` are emitted: similar lines
+   have EXTRA of these in common. Tokens are counted exactly over all classes, and those of a single one are dropped.
+3. A line's emitted tokens are put in order of rarity by these counts, and the commonest EXTRA - 1 are left out: with
+   EXTRA in common, one of the others is still shared (the prefix filter). Length filter, positional filter and a
+   bound on the symmetric difference from 64 parity bits are checked as two lines meet at a token.
+4. Each line is first compared with the earliest line of each of its tokens, which settles families of copies without their
+   pairs; lines left are compared with all earlier ones. Pairs that pass are verified by their whole token sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
-from typing import NamedTuple
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import durable
-from auditloom.llm.url_filter import MAX_LEVEL_BITS, build_level
+from auditloom.llm.common import Scratch
 
 SHINGLE = 5
 #: Lines match at a Jaccard similarity of NUM / DEN or more; kept as integers so that every bound is exact.
 NUM, DEN = 4, 5
-#: Buckets of the count sketch that orders tokens by rarity; its size is fixed, whatever the corpus.
-SKETCH = 1 << 16
-#: Bytes of text a worker takes at once (a longer text is taken alone).
-AT_ONCE = 1 << 20
-
-
-class Tokens(NamedTuple):
-    """Tokens of the lines of some texts that have any: for each line its text's position, its number and its words' hash."""
-
-    text: np.ndarray
-    line: np.ndarray
-    id: np.ndarray
-    starts: np.ndarray  # of each line in ``token``
-    token: np.ndarray  # unsigned hashes of runs of SHINGLE words (of all words of a shorter line), repeats included
-    long: np.ndarray  # whether each line has SHINGLE words; the token of a shorter one is met in its own class only
-
+#: Common tokens that similar lines have among those emitted (or all tokens, if a line has fewer).
+EXTRA = 3
 
-def _stir(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
 
+def _even(text: Column) -> Column:
+    """Lower-cased text with single spaces between the words of a line and none around it; line breaks stay."""
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for mark in ("  ", "\t", "\x0b", "\x0c", "\r", " \n", "\n "):  # texts without any, mostly, need no pattern
+        odd = odd | F.contains(text, F.lit(mark))
+    folded = F.regexp_replace(F.lower(text), r"[ \t\x0B-\r]+", " ")
+    return F.when(odd, F.trim(F.regexp_replace(folded, " ?\n ?", "\n"))).otherwise(F.lower(text))
 
-@lru_cache(1)
-def _byte_codes() -> np.ndarray:
-    """A 64-bit code for each byte; A-Z share those of a-z."""
-    codes = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-    codes[65:91] = codes[97:123]
-    return codes
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
-@lru_cache(2)
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
-
-
-def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each word: a polynomial in an odd base, so that differences of running sums can be divided by its powers."""
-    base = 0x9E3779B97F4A7C15
-    inverse, out = pow(base, -1, 1 << 64), np.empty(len(starts), np.uint64)
-    cuts = np.unique([*np.searchsorted(starts, np.arange(0, len(raw), AT_ONCE)), len(starts)])
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        lo, hi = starts[a], ends[b - 1]
-        n = -(-int(hi - lo) // AT_ONCE) * AT_ONCE  # few sizes, so that the powers are kept
-        upto = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_byte_codes()[raw[lo:hi]] * _powers(base, n)[: hi - lo], out=upto[1:])
-        out[a:b] = (upto[ends[a:b] - lo] - upto[starts[a:b] - lo]) * _powers(inverse, n)[starts[a:b] - lo]
-    return _stir(_stir(out))
-
-
-def tokens_of(texts: Sequence[bytes | None], short_lines: bool = False) -> Tokens:
-    """Tokenise whole texts (UTF-8); all steps run over all bytes or words of the texts at once.
-
-    With ``short_lines``, all words of a line of fewer than SHINGLE words are its single token; else it has none.
-    """
-    none = np.zeros(0, np.int64)
-    joined = b"\n".join(t or b"" for t in texts)
-    raw = np.frombuffer(joined, np.uint8) if joined else np.zeros(0, np.uint8)
-    space = np.ones(len(raw) + 2, bool)
-    space[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    newlines = np.flatnonzero(raw == 10)
-    at = np.searchsorted(newlines, starts)
-    row, first, n = np.unique(at, return_index=True, return_counts=True)
-    used = n >= (1 if short_lines else SHINGLE)
-    kept = np.repeat(used, n)
-    row, n = row[used], n[used]
-    if not len(row):
-        return Tokens(none, none, none, none, np.zeros(0, np.uint64), none.astype(bool))
-    w, first = _word_hashes(raw, starts, ends)[kept], np.cumsum(n) - n
-    begins = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])[:-1]
-    top = np.searchsorted(newlines, begins)  # number of each text's first line
-    text = np.searchsorted(top, row, side="right") - 1
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    place = np.arange(len(w), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64)
-    ids = _stir(np.add.reduceat(_stir(w + (place + np.uint64(1)) * mix), first) + n.astype(np.uint64))
-    padded = np.concatenate([w, np.zeros(SHINGLE - 1, np.uint64)])
-    run = np.zeros(len(w), np.uint64)
-    for k in range(SHINGLE):
-        run = run * mix + padded[k : len(w) + k]
-    run = _stir(run)
-    long = n >= SHINGLE
-    inside = np.repeat(long, n)
-    for k in range(1, SHINGLE):
-        inside[(first + n - k)[long]] = False
-    inside[first[~long]] = True
-    run[first[~long]] = ids[~long]
-    m = np.maximum(n - SHINGLE + 1, 1)
-    return Tokens(text, row - top[text], ids.view(np.int64), np.cumsum(m) - m, run[inside], long)
-
-
-def _sorted_sets(t: Tokens, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of each line, rarest first, as (line position, token with its rank in the top byte)."""
-    key = (ranks[(t.token & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (t.token >> np.uint64(8))
-    of = np.repeat(np.arange(len(t.id)), np.diff([*t.starts, len(t.token)]))
-    order = np.lexsort((key, of))
-    key, of = key[order], of[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-    return of[new], key[new].view(np.int64)
-
-
-def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values))
-
-
-def _slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
-    """Texts of a batch with the position of the first, about AT_ONCE bytes at a time, so that scratch space stays small."""
-    upto = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64) + 1)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AT_ONCE)))
-        yield i, texts.slice(i, j - i).cast(pa.large_binary()).to_pylist()
-        i = j
-
-
-def _places(docs: DataFrame, short_lines: bool) -> DataFrame:
-    """Lines with tokens, ``id, doc_id, key, line_no``, and for each task the tokens it met in each of SKETCH buckets, ``bucket, n``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names, of = np.zeros(SKETCH, np.int64), ["id", "doc_id", "key", "line_no", "bucket", "n"], None
-        for part in parts:
-            of = part.column("doc_id").type
-            for i, some in _slices(part.column("text")):
-                t = tokens_of(some, short_lines)
-                shared = t.token[np.repeat(t.long, np.diff([*t.starts, len(t.token)]))]
-                total += np.bincount((shared & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                at, k = pa.array(t.text + i), len(t.id)
-                yield pa.RecordBatch.from_arrays([pa.array(t.id), part.column("doc_id").take(at), part.column("key").take(at), pa.array(t.line.astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
-        if of is not None:
-            at = np.flatnonzero(total)
-            k = len(at)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, of), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
-
-    return _keyed(docs).mapInArrow(run, f"id bigint, doc_id {kind}, key bigint, line_no int, bucket int, n bigint")
 
+def line_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, line_no, words`` of every line that has a word."""
+    lines = _keyed(docs).select("doc_id", "key", F.posexplode(F.split(_even(F.col("text")), "\n")).alias("line_no", "line"))
+    return lines.where("line <> ''").select("doc_id", "key", "line_no", F.split("line", " ").alias("words"))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
+def with_tokens(lines: DataFrame) -> DataFrame:
+    """Replaces ``words`` by ``tokens``: sorted hashes of the distinct runs of SHINGLE words, none for a shorter line."""
+    hashed = lines.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
+    run = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.call_function("xxhash64", *[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
+    runs = F.when(F.size("words") >= SHINGLE, run).otherwise(F.array().cast("array<bigint>"))
+    made = hashed.withColumn("tokens", runs).drop("words")
+    return made.withColumn("tokens", F.sort_array(F.array_distinct("tokens")))
 
-def _line_rows(docs: DataFrame, ranks: np.ndarray, short_lines: bool) -> DataFrame:
-    """Lines with tokens: ``id, doc_id, key, line_no, size, parity, prefix``."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i, some in _slices(part.column("text")):
-                t = tokens_of(some, short_lines)
-                at = pa.array(t.text + i)
-                of, key = _sorted_sets(t, ranks)
-                sizes = np.bincount(of, minlength=len(t.id))
-                first = np.cumsum(sizes) - sizes
-                bits = np.left_shift(np.uint64(1), (key.view(np.uint64) & np.uint64(63)))
-                parity = np.bitwise_xor.reduceat(bits, first).view(np.int64) if len(first) else np.zeros(0, np.int64)
-                keep = sizes - (sizes * NUM + DEN - 1) // DEN + 1
-                head = (np.arange(len(of)) - first[of] < keep[of]) & t.long[of]
-                columns = [pa.array(t.id), part.column("doc_id").take(at), part.column("key").take(at), pa.array(t.line.astype(np.int32))]
-                columns += [pa.array(sizes.astype(np.int32)), pa.array(parity), _lists(of[head], key[head], len(t.id))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_id", "key", "line_no", "size", "parity", "prefix"])
+def _parity(tokens: Column) -> Column:
+    """64 bits: whether the number of tokens whose hash ends in each of 64 values is odd."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(run, f"id bigint, doc_id {kind}, key bigint, line_no int, size int, parity bigint, prefix array<bigint>")
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """One row for each class of equal lines: ``id, more`` (128 bits), ``n`` and ``parity`` of its tokens, those emitted, its first place and whether it has others."""
+    ids = line_words(docs).withColumns({"id": F.xxhash64("words"), "more": F.xxhash64(F.lit(1), "words")})
+    made = with_tokens(ids)
+    n = F.size("tokens")
+    emitted = F.slice("tokens", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + F.least(n, F.lit(EXTRA)))
+    made = made.select("id", "more", n.alias("n"), _parity(F.col("tokens")).alias("parity"), emitted.alias("emitted"), F.struct("doc_id", "key", "line_no").alias("place"))
+    # all that depends on the words is a key, so that nothing but the place is aggregated
+    return made.groupBy("id", "more", "n", "parity", "emitted").agg(F.min("place").alias("place"), F.count("*").alias("lines"))
 
-def _line_sets(docs: DataFrame, pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """``id, tokens`` of the classes in ``pairs``, made again from their first lines (``of``: ``id, place``).
 
-    Only texts that hold a wanted line are tokenised and only wanted lines leave a task, as far as constant-size
-    filters tell; the rest is told apart by the join on the place.
-    """
-    ids = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
-    chosen = durable(of.join(ids, "id", "left_semi").select("id", "place.key", "place.line_no", F.xxhash64("place.key", "place.line_no").alias("spot")), "line-chosen")
-    count, none = chosen.count(), np.zeros(SKETCH, np.uint8)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i, some in _slices(part.column("text")):
-                t = tokens_of(some)
-                of, key = _sorted_sets(t, none)
-                columns = [pa.array(t.id), part.column("key").take(pa.array(t.text + i)), pa.array(t.line.astype(np.int32)), _lists(of, key, len(t.id))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "line_no", "tokens"])
-
-    texts = _keyed(docs).where(_maybe_in(chosen, "key", count))
-    made = texts.mapInArrow(run, "id bigint, key bigint, line_no int, tokens array<bigint>")
-    made = made.withColumn("spot", F.xxhash64("key", "line_no")).where(_maybe_in(chosen, "spot", count))
-    made = made.join(chosen.drop("spot"), ["id", "key", "line_no"], "left_semi")
-    return durable(made.groupBy("id").agg(F.any_value("tokens").alias("tokens")), "line-sets")
-
-
-def _maybe_in(keys: DataFrame, column: str, count: int) -> Column:
-    """A constant-size filter that is true for every key of ``keys`` and few others; always true for too many keys."""
-    if count == 0:
-        return F.lit(False)
-    if count * 16 > MAX_LEVEL_BITS:
-        return F.lit(True)
-    level = build_level(keys.select(F.col(column).alias("key")), count, 1e-2, 31)
-    return level.passes(F.col(column))
+def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Tokens that lines may meet at, ``t, id, pos, emits, n, parity, place``; pos is the token's place in the line's order of rarity."""
+    token = Window.partitionBy("t")
+    emitted = classes.where("n > 0").select("id", F.explode("emitted").alias("t"))
+    counted = emitted.withColumns({"lo": F.min("id").over(token), "hi": F.max("id").over(token), "held": F.count("*").over(token)})
+    shared = scratch.keep(counted.where("lo <> hi").select("t", "id", "held"), "line-shared")
+    line = Window.partitionBy("id")
+    info = classes.where("n > 0").select("id", "n", "parity", "place", F.size("emitted").alias("emits"))
+    ranked = shared.join(info, "id")
+    # tokens of a single class come first; they meet no other line and have no row here
+    pos = F.col("emits") - F.count("*").over(line) + F.row_number().over(line.orderBy("held", "t")) - 1
+    ranked = ranked.withColumn("pos", pos.cast("int")).where(F.col("pos") <= F.col("emits") - F.least(F.col("n"), F.lit(EXTRA)))
+    return scratch.keep(ranked.select("t", "id", "pos", "emits", "n", "parity", "place"), "line-candidates")
+
+
+def _fits(a: str, b: str) -> Column:
+    """Length, positional and parity filters for two lines that share a token; true for the rarest one that similar lines share."""
+    both = lambda name: (F.col(f"{a}.{name}"), F.col(f"{b}.{name}"))
+    (n, m), (i, j), (e, f), (p, q) = map(both, ("n", "pos", "emits", "parity"))
+    length = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
+    left = F.least(e - i, f - j) >= F.least(n, m, F.lit(EXTRA))
+    apart = F.bit_count(p.bitwiseXOR(q)) * (NUM + DEN) <= (n + m) * (DEN - NUM)
+    return length & left & apart
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``early, late``) whose token sets are similar enough."""
+    """The ids ``late`` of those of ``pairs`` (``early, late``) whose token sets are similar enough."""
     a = sets.select(F.col("id").alias("early"), F.col("tokens").alias("a"))
     b = sets.select(F.col("id").alias("late"), F.col("tokens").alias("b"))
     both = pairs.join(a, "early").join(b, "late")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common * DEN >= (F.size("a") + F.size("b") - common) * NUM).select("early", "late")
+    return both.where(common * DEN >= (F.size("a") + F.size("b") - common) * NUM).select(F.col("late").alias("id")).distinct()
 
 
-def matched_lines(docs: DataFrame, short_lines: bool = False) -> DataFrame:
-    """Lines to remove: ``key, line_no`` of every line that matches an earlier one.
+def _sets(docs: DataFrame, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``id, tokens`` of all lines in ``pairs``, from the text of each class's first line."""
+    ids = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
+    places = candidates.select("id", "place.key", "place.line_no").distinct().join(ids, "id", "left_semi")
+    chosen = line_words(docs).select("key", "line_no", "words").join(places, ["key", "line_no"])
+    return with_tokens(chosen).select("id", "tokens").dropDuplicates(["id"])
 
-    Lines come in the order of document id, document and line number. Equal lines form a class, of which all but the
-    first go. Of each class only the first line joins on: its tokens (hashes of 5-word shingles, as a set) are put in
-    order of rarity, by a count sketch over all lines of the corpus with the hash as tie-break, and only the prefix that two similar
-    lines must share is emitted. Tokens that a single class holds are dropped as they meet. Within a token's lines a pair
-    must pass the length filter, the positional filter and a bound on the symmetric difference from 64 parity bits,
-    all exact, before its sets are compared. A first pass compares each line with the earliest of its token, which settles
-    families of copies without their pairs; a second pass compares those left with all earlier lines.
-    """
-    places = durable(_places(docs, short_lines), "line-places")
-    counts = places.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(SKETCH, np.int64)
-    total[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    ranks = np.minimum(127, 4 * np.log2(total + 1)).astype(np.uint8)  # four steps for each doubling
-    place = F.struct("doc_id", "key", "line_no")
-    some = lambda c: F.any_value(c).alias(c)  # noqa: E731  the same for all lines of a class
-    rows = _line_rows(docs, ranks, short_lines)
-    classes = durable(rows.groupBy("id").agg(F.min(place).alias("place"), some("size"), some("parity"), some("prefix")), "line-classes")
 
-    token = Window.partitionBy("t")
-    spread = classes.select("id", F.posexplode("prefix").alias("pos", "t"))
-    spread = spread.withColumns({"lo": F.min("id").over(token), "hi": F.max("id").over(token)})
-    shared = durable(spread.where("lo <> hi").select("t", "id", "pos"), "line-shared")
-    ids = durable(shared.select("id").distinct(), "line-ids")
-    n_ids = ids.count()
-    maybe = _maybe_in(ids, "id", n_ids)
-    of = classes.where(maybe).select("id", "place", "size", "parity")
-    shared = durable(shared.join(of, "id"), "line-candidates")
-
-    def fits(a: str, b: str) -> Column:
-        """Length, positional and parity filters for two lines that share a token."""
-        c = lambda side, name: F.col(f"{side}.{name}")
-        total = c(a, "size") + c(b, "size")
-        length = (c(a, "size") * DEN >= c(b, "size") * NUM) & (c(b, "size") * DEN >= c(a, "size") * NUM)
-        most = F.least(c(a, "size") - c(a, "pos"), c(b, "size") - c(b, "pos")) + F.least(c(a, "pos"), c(b, "pos"))
-        overlap = most * (NUM + DEN) >= total * NUM
-        apart = F.bit_count(c(a, "parity").bitwiseXOR(c(b, "parity"))) * (NUM + DEN) <= total * (DEN - NUM)
-        return length & overlap & apart
-
-    whole = F.struct("place", "id", "size", "parity", "pos")
-    star = shared.withColumn("mine", whole).withColumn("hub", F.min("mine").over(token))
-    star = star.where((F.col("hub.id") != F.col("id")) & fits("hub", "mine")).select(F.col("hub.id").alias("early"), F.col("id").alias("late")).distinct()
-    star = durable(star, "line-star")
-    first = durable(_verified(star, _line_sets(docs, star, of)).select(F.col("late").alias("id")).distinct(), "line-first")
-    later = shared.join(first, "id", "left_anti").withColumn("mine", whole).select("t", "mine")
-    earlier = shared.withColumn("other", whole).select("t", "other")
-    pairs = later.join(earlier, "t").where((F.col("other.place") < F.col("mine.place")) & fits("other", "mine"))
-    pairs = durable(pairs.select(F.col("other.id").alias("early"), F.col("mine.id").alias("late")).distinct(), "line-pairs")
-    second = _verified(pairs, _line_sets(docs, pairs, of)).select(F.col("late").alias("id")).distinct()
-    gone = durable(first.unionByName(second), "line-gone")
-
-    whose = classes.select("id", "place").join(gone.withColumn("gone", F.lit(True)), "id", "left")
-    found = places.where("bucket is null").select("id", place.alias("here")).join(whose, "id")
-    found = found.where((F.col("here") != F.col("place")) | F.col("gone"))
-    return found.select("here.key", "here.line_no").distinct()
+def matched_lines(docs: DataFrame, short_lines: bool, scratch: Scratch) -> DataFrame:
+    """``key, removed``: for each text with lines that match earlier ones, their numbers.
+
+    Lines come in the order of document id (null first), document and line number. A line is removed if any earlier
+    line has the same words or, by tokens, a Jaccard similarity of NUM / DEN or more, whether that line is removed or not.
+    """
+    classes = scratch.keep(_classes(docs), "line-classes")
+    candidates = _candidates(classes, scratch)
+    whole = F.struct("place", "id", "n", "pos", "emits", "parity")
+    met = candidates.select("t", whole.alias("mine"))
+    hubs = met.groupBy("t").agg(F.min("mine").alias("hub"))
+    star = met.join(hubs, "t").where((F.col("hub.id") != F.col("mine.id")) & _fits("hub", "mine"))
+    star = scratch.keep(star.select(F.col("hub.id").alias("early"), F.col("mine.id").alias("late")).distinct(), "line-star")
+    first = scratch.keep(_verified(star, scratch.keep(_sets(docs, star, candidates), "line-sets")), "line-first")
+    # lines of lengths that can match lie in the same or the next band
+    band = F.floor(F.log(F.col("mine.n").cast("double")) / F.log(F.lit(DEN / NUM * 1.0001))).cast("int")
+    later = met.join(first, F.col("mine.id") == first["id"], "left_anti")
+    later = later.select("t", "mine", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    earlier = met.select("t", band.alias("band"), F.col("mine").alias("other"))
+    pairs = later.join(earlier, ["t", "band"]).where((F.col("other.place") < F.col("mine.place")) & _fits("other", "mine"))
+    pairs = scratch.keep(pairs.select(F.col("other.id").alias("early"), F.col("mine.id").alias("late")).distinct().join(star, ["early", "late"], "left_anti"), "line-pairs")
+    second = _verified(pairs, scratch.keep(_sets(docs, pairs, candidates), "line-sets"))
+    gone = first.unionByName(second).withColumn("gone", F.lit(True))
+
+    least = 1 if short_lines else SHINGLE
+    whose = classes.join(gone, "id", "left").where(F.col("gone") | (F.col("lines") > 1)).select("id", "more", "place", "gone")
+    lines = line_words(docs).where(F.size("words") >= least)
+    lines = lines.select(F.xxhash64("words").alias("id"), F.xxhash64(F.lit(1), "words").alias("more"), F.struct("doc_id", "key", "line_no").alias("here"))
+    found = lines.join(whose, ["id", "more"]).where((F.col("here") != F.col("place")) | F.col("gone"))
+    return found.groupBy("here.key").agg(F.collect_set("here.line_no").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """Remove every line that repeats an earlier one, exactly or nearly: adds ``n_lines`` and ``n_removed``, changes the text.
 
-    Two lines match if their sets of 5-word shingles (words between ASCII white space, A-Z lower-cased) have a
+    Two lines match if their sets of 5-word shingles (words between ASCII white space, lower-cased) have a
     Jaccard similarity of 0.8 or more. Lines of one to four words have no shingle: with ``short_lines`` they match if their words
     are the same, without it they always stay. Lines without words always stay. Earlier means a smaller document id, or the
     same document and a smaller line number; null ids come first. A null text stays null and has no lines to
@@ -301,22 +156,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns stay; those named like a result are replaced. An empty table gives no rows.
     """
     base = docs.drop("n_lines", "n_removed")
+    scratch = Scratch(docs.sparkSession, "lines")
     slim = base.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = durable(matched_lines(slim, short_lines), "line-removed")
-    word = F.floor(F.col("line_no") / 64).cast("int").alias("word")
-    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("line_no") % 64)).alias("bits")
-    masks = lines.groupBy("key", word).agg(bits, F.count("*").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_mask"), F.sum("n").alias("_n"))
-    masks = durable(masks, "line-masks")
-    touched = masks.count()
-    wide = base.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("key", F.col("_key"))
-    maybe = _maybe_in(masks, "key", touched)
-    split = F.split(F.col(text_col), "\n")
-    n_lines = F.coalesce(F.size(split), F.lit(0))
-    clean = wide.where(~maybe).select(*base.columns, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
-    joined = wide.where(maybe).join(masks.withColumnRenamed("key", "_masked"), F.col("key") == F.col("_masked"), "left")
-    is_set = lambda i: F.call_function("shiftrightunsigned", F.coalesce(F.try_element_at(F.col("_mask"), F.floor(i / 64).cast("int")), F.lit(0).cast("bigint")), i % 64).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    rest = F.array_join(F.filter(split, lambda x, i: ~is_set(i)), "\n")
-    text = F.when(F.col("_mask").isNull(), F.col(text_col)).otherwise(rest)
+    removed = scratch.keep(matched_lines(slim, short_lines, scratch).withColumnRenamed("key", "_of"), "line-removed", last=True)
+    wide = base.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    wide = wide.join(removed, F.col("_key") == F.col("_of"), "left").withColumn("_split", F.split(F.col(text_col), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("removed"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("_split"), i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(rest)
     columns = [text.alias(c) if c == text_col else F.col(c) for c in base.columns]
-    cut = joined.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_removed"))
-    return clean.unionByName(cut)
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_split"))
+    return wide.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"))
