@@ -34,8 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """Reliable checkpoint in the folder all executors share (``spark.checkpoint.dir``); a local one only in local mode, where none is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/auditloom-{os.getpid()}")
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or f"file://{tempfile.gettempdir()}/auditloom-{os.getpid()}")
     return df.checkpoint()
