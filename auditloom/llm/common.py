@@ -64,6 +64,40 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Largest bit array of a filter frame; more keys than it serves only make the filter let more rows pass.
+FILTER_BITS = 1 << 26
+
+
+def filter_frame(keys: DataFrame, count: int) -> DataFrame:
+    """A Bloom filter of the bigint column ``key`` as a frame of one row, ``_bits array<bigint>``: ten bits for each key, up to FILTER_BITS.
+
+    It is for broadcasting to rows that a join will test exactly afterwards, so that rows without a partner need no shuffle.
+    """
+    words = 1 << max(6, min(FILTER_BITS, 10 * max(1, count)).bit_length() - 6)
+    spots = keys.select(F.explode(F.array(*[_spot(F.col("key"), i, words) for i in range(3)])).alias("p"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))
+    found = spots.select(F.floor(F.col("p") / 64).alias("at"), one.alias("bit"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("bit"))
+    packed = found.unionByName(every).groupBy("at").agg(F.bit_or("bit").alias("word"))
+    return packed.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("_bits"))
+
+
+def _spot(key: Column, i: int, words: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(words * 64))
+
+
+def maybe_in(rows: DataFrame, key: Column, frame: DataFrame, count: int) -> DataFrame:
+    """The rows whose ``key`` passes the filter of ``filter_frame(keys, count)``: all that have a partner, and few others."""
+    words = 1 << max(6, min(FILTER_BITS, 10 * max(1, count)).bit_length() - 6)
+
+    def is_set(i: int) -> Column:
+        at = _spot(key, i, words)
+        word = F.get(F.col("_bits"), F.floor(at / 64).cast("int"))
+        return F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    return rows.join(F.broadcast(frame)).where(is_set(0) & is_set(1) & is_set(2)).drop("_bits")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for the small frames of iterative plans."""
     shared_dir(df.sparkSession)

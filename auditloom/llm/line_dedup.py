@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import Scratch
+from auditloom.llm.common import Scratch, filter_frame, maybe_in
 
 SHINGLE = 5
 #: Lines match at a Jaccard similarity of NUM / DEN or more; kept as integers so that every bound is exact.
@@ -39,15 +39,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def line_words(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, line_no, words`` of every line that has a word."""
-    lines = _keyed(docs).select("doc_id", "key", F.posexplode(F.split(_even(F.col("text")), "\n")).alias("line_no", "line"))
-    return lines.where("line <> ''").select("doc_id", "key", "line_no", F.split("line", " ").alias("words"))
+def text_lines(texts: DataFrame) -> DataFrame:
+    """``doc_id, key, line_no, line`` of every line that has a word, made even: equal words give equal lines."""
+    lines = texts.select("doc_id", "key", F.posexplode(F.split(_even(F.col("text")), "\n")).alias("line_no", "line"))
+    return lines.where("line <> ''")
+
+
+def _ids() -> dict[str, Column]:
+    """128 bits that tell classes of equal lines apart."""
+    return {"id": F.xxhash64("line"), "more": F.xxhash64(F.lit(1), "line")}
 
 
 def with_tokens(lines: DataFrame) -> DataFrame:
-    """Replaces ``words`` by ``tokens``: sorted hashes of the distinct runs of SHINGLE words, none for a shorter line."""
-    hashed = lines.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
+    """Replaces ``line`` by ``tokens``: sorted hashes of the distinct runs of SHINGLE words, none for a shorter line."""
+    hashed = lines.withColumn("words", F.split("line", " ")).drop("line").withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
     run = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.call_function("xxhash64", *[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
     runs = F.when(F.size("words") >= SHINGLE, run).otherwise(F.array().cast("array<bigint>"))
     made = hashed.withColumn("tokens", runs).drop("words")
@@ -62,8 +67,7 @@ def _parity(tokens: Column) -> Column:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """One row for each class of equal lines: ``id, more`` (128 bits), ``n`` and ``parity`` of its tokens, those emitted, its first place and whether it has others."""
-    ids = line_words(docs).withColumns({"id": F.xxhash64("words"), "more": F.xxhash64(F.lit(1), "words")})
-    made = with_tokens(ids)
+    made = with_tokens(text_lines(_keyed(docs)).withColumns(_ids()))
     n = F.size("tokens")
     emitted = F.slice("tokens", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + F.least(n, F.lit(EXTRA)))
     made = made.select("id", "more", n.alias("n"), _parity(F.col("tokens")).alias("parity"), emitted.alias("emitted"), F.struct("doc_id", "key", "line_no").alias("place"))
@@ -105,12 +109,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * DEN >= (F.size("a") + F.size("b") - common) * NUM).select(F.col("late").alias("id")).distinct()
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``id, tokens`` of all lines in ``pairs``, from the text of each class's first line."""
+def _sets(docs: DataFrame, pairs: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, tokens`` of all lines in ``pairs``, from the text of each class's first line; filters leave out other texts before they are cut into lines."""
     ids = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
     places = candidates.select("id", "place.key", "place.line_no").distinct().join(ids, "id", "left_semi")
-    chosen = line_words(docs).select("key", "line_no", "words").join(places, ["key", "line_no"])
-    return with_tokens(chosen).select("id", "tokens").dropDuplicates(["id"])
+    places = scratch.keep(places.withColumn("spot", F.xxhash64("key", "line_no")), "line-places")
+    count = places.count()
+    texts = maybe_in(_keyed(docs), F.col("key"), filter_frame(places.select("key"), count), count)
+    lines = text_lines(texts).drop("doc_id")
+    lines = maybe_in(lines, F.xxhash64("key", "line_no"), filter_frame(places.select(F.col("spot").alias("key")), count), count)
+    chosen = lines.join(places.drop("spot"), ["key", "line_no"]).dropDuplicates(["id"])
+    return scratch.keep(with_tokens(chosen).select("id", "tokens"), "line-sets")
 
 
 def matched_lines(docs: DataFrame, short_lines: bool, scratch: Scratch) -> DataFrame:
@@ -126,7 +135,7 @@ def matched_lines(docs: DataFrame, short_lines: bool, scratch: Scratch) -> DataF
     hubs = met.groupBy("t").agg(F.min("mine").alias("hub"))
     star = met.join(hubs, "t").where((F.col("hub.id") != F.col("mine.id")) & _fits("hub", "mine"))
     star = scratch.keep(star.select(F.col("hub.id").alias("early"), F.col("mine.id").alias("late")).distinct(), "line-star")
-    first = scratch.keep(_verified(star, scratch.keep(_sets(docs, star, candidates), "line-sets")), "line-first")
+    first = scratch.keep(_verified(star, _sets(docs, star, candidates, scratch)), "line-first")
     # lines of lengths that can match lie in the same or the next band
     band = F.floor(F.log(F.col("mine.n").cast("double")) / F.log(F.lit(DEN / NUM * 1.0001))).cast("int")
     later = met.join(first, F.col("mine.id") == first["id"], "left_anti")
@@ -134,13 +143,13 @@ def matched_lines(docs: DataFrame, short_lines: bool, scratch: Scratch) -> DataF
     earlier = met.select("t", band.alias("band"), F.col("mine").alias("other"))
     pairs = later.join(earlier, ["t", "band"]).where((F.col("other.place") < F.col("mine.place")) & _fits("other", "mine"))
     pairs = scratch.keep(pairs.select(F.col("other.id").alias("early"), F.col("mine.id").alias("late")).distinct().join(star, ["early", "late"], "left_anti"), "line-pairs")
-    second = _verified(pairs, scratch.keep(_sets(docs, pairs, candidates), "line-sets"))
+    second = _verified(pairs, _sets(docs, pairs, candidates, scratch))
     gone = first.unionByName(second).withColumn("gone", F.lit(True))
 
-    least = 1 if short_lines else SHINGLE
-    whose = classes.join(gone, "id", "left").where(F.col("gone") | (F.col("lines") > 1)).select("id", "more", "place", "gone")
-    lines = line_words(docs).where(F.size("words") >= least)
-    lines = lines.select(F.xxhash64("words").alias("id"), F.xxhash64(F.lit(1), "words").alias("more"), F.struct("doc_id", "key", "line_no").alias("here"))
+    whose = classes.join(gone, "id", "left").where(F.col("gone") | (F.col("lines") > 1))
+    whose = whose if short_lines else whose.where("n > 0")
+    whose = whose.select("id", "more", "place", "gone").hint("shuffle_hash")
+    lines = text_lines(_keyed(docs)).withColumns(_ids()).select("id", "more", F.struct("doc_id", "key", "line_no").alias("here"))
     found = lines.join(whose, ["id", "more"]).where((F.col("here") != F.col("place")) | F.col("gone"))
     return found.groupBy("here.key").agg(F.collect_set("here.line_no").alias("removed"))
 
@@ -160,7 +169,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = base.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     removed = scratch.keep(matched_lines(slim, short_lines, scratch).withColumnRenamed("key", "_of"), "line-removed", last=True)
     wide = base.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    wide = wide.join(removed, F.col("_key") == F.col("_of"), "left").withColumn("_split", F.split(F.col(text_col), "\n"))
+    wide = wide.join(removed.hint("shuffle_hash"), F.col("_key") == F.col("_of"), "left").withColumn("_split", F.split(F.col(text_col), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("removed"))
     rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("_split"), i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(rest)
