@@ -7,9 +7,10 @@ A line's tokens are its distinct runs of SHINGLE words. The join goes through th
    have EXTRA of these in common. Tokens are counted exactly over all classes, and those of a single one are dropped.
 3. A line's emitted tokens are put in order of rarity by these counts, and the commonest EXTRA - 1 are left out: with
    EXTRA in common, one of the others is still shared (the prefix filter). Length filter, positional filter and a
-   bound on the symmetric difference from 64 parity bits are checked as two lines meet at a token.
-4. Each line is first compared with the earliest line of each of its tokens, which settles families of copies without their
-   pairs; lines left are compared with all earlier ones. Pairs that pass are verified by their whole token sets.
+   bound on the symmetric difference from 256 parity bits are checked as two lines meet at a token.
+4. Each line is first compared with two lines of each of its tokens, the earliest and one that a hash picks; that settles
+   families of copies without their pairs. Lines left are compared with all earlier ones. Pairs that pass are verified by their
+   whole token sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Common tokens that similar lines have among those emitted (or all tokens, if a line has fewer).
 EXTRA = 3
-
+#: Words of 64 parity bits.
+WORDS = 4
 
 def _even(text: Column) -> Column:
     """Lower-cased text with single spaces between the words of a line and none around it; line breaks stay."""
@@ -59,45 +61,60 @@ def with_tokens(lines: DataFrame) -> DataFrame:
     return made.withColumn("tokens", F.sort_array(F.array_distinct("tokens")))
 
 
-def _parity(tokens: Column) -> Column:
-    """64 bits: whether the number of tokens whose hash ends in each of 64 values is odd."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+def _parities(tokens: Column) -> dict[str, Column]:
+    """256 bits: whether the number of tokens whose hash ends in each of 256 values is odd."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def word(k: int) -> Column:
+        bit = lambda t: F.when(t.bitwiseAND(F.lit(192)) == 64 * k, F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))).otherwise(none)
+        return F.aggregate(tokens, none, lambda a, t: a.bitwiseXOR(bit(t)))
+
+    return {f"p{k}": word(k) for k in range(WORDS)}
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """One row for each class of equal lines: ``id, more`` (128 bits), ``n`` and ``parity`` of its tokens, those emitted, its first place and whether it has others."""
+    """One row for each class of equal lines: ``id, more`` (128 bits), its number ``n`` of tokens, those emitted, its first place and how many lines it has."""
     made = with_tokens(text_lines(_keyed(docs)).withColumns(_ids()))
     n = F.size("tokens")
     emitted = F.slice("tokens", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + F.least(n, F.lit(EXTRA)))
-    made = made.select("id", "more", n.alias("n"), _parity(F.col("tokens")).alias("parity"), emitted.alias("emitted"), F.struct("doc_id", "key", "line_no").alias("place"))
+    made = made.select("id", "more", n.alias("n"), emitted.alias("emitted"), F.struct("doc_id", "key", "line_no").alias("place"))
     # all that depends on the words is a key, so that nothing but the place is aggregated
-    return made.groupBy("id", "more", "n", "parity", "emitted").agg(F.min("place").alias("place"), F.count("*").alias("lines"))
+    return made.groupBy("id", "more", "n", "emitted").agg(F.min("place").alias("place"), F.count("*").alias("lines"))
+
 
+def _candidates(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Tokens that lines may meet at, ``t, mine``, and the token sets of these lines, ``id, tokens``.
 
-def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Tokens that lines may meet at, ``t, id, pos, emits, n, parity, place``; pos is the token's place in the line's order of rarity."""
+    ``mine.pos`` is the token's place in the line's order of rarity, in which tokens of a single class come first; these
+    meet no other line and have no row.
+    """
     token = Window.partitionBy("t")
     emitted = classes.where("n > 0").select("id", F.explode("emitted").alias("t"))
     counted = emitted.withColumns({"lo": F.min("id").over(token), "hi": F.max("id").over(token), "held": F.count("*").over(token)})
     shared = scratch.keep(counted.where("lo <> hi").select("t", "id", "held"), "line-shared")
-    line = Window.partitionBy("id")
-    info = classes.where("n > 0").select("id", "n", "parity", "place", F.size("emitted").alias("emits"))
-    ranked = shared.join(info, "id")
-    # tokens of a single class come first; they meet no other line and have no row here
-    pos = F.col("emits") - F.count("*").over(line) + F.row_number().over(line.orderBy("held", "t")) - 1
+    info = classes.where("n > 0").select("id", "n", "place", F.size("emitted").alias("emits"))
+    lines = shared.groupBy("id").agg(F.count("*").alias("shared")).join(info, "id").where(F.col("shared") >= F.least(F.col("n"), F.lit(EXTRA)))
+    lines = scratch.keep(lines.withColumns({"key": F.col("place.key"), "spot": F.xxhash64("place.key", "place.line_no")}), "line-places")
+    count = lines.count()
+    texts = maybe_in(_keyed(docs), F.col("key"), filter_frame(lines.select("key"), count), count)
+    own = maybe_in(text_lines(texts).drop("doc_id"), F.xxhash64("key", "line_no"), filter_frame(lines.select(F.col("spot").alias("key")), count), count)
+    own = own.join(lines.select("id", "key", F.col("place.line_no").alias("line_no")), ["key", "line_no"]).dropDuplicates(["id"])
+    sets = scratch.keep(with_tokens(own).select("id", "tokens", *[c.alias(k) for k, c in _parities(F.col("tokens")).items()]), "line-sets")
+    ranked = shared.join(lines.select("id", "n", "place", "emits", "shared").join(sets.drop("tokens"), "id"), "id")
+    pos = F.col("emits") - F.col("shared") + F.row_number().over(Window.partitionBy("id").orderBy("held", "t")) - 1
     ranked = ranked.withColumn("pos", pos.cast("int")).where(F.col("pos") <= F.col("emits") - F.least(F.col("n"), F.lit(EXTRA)))
-    return scratch.keep(ranked.select("t", "id", "pos", "emits", "n", "parity", "place"), "line-candidates")
+    whole = F.struct("place", "id", "n", "pos", "emits", *[f"p{k}" for k in range(WORDS)])
+    return scratch.keep(ranked.select("t", whole.alias("mine")), "line-candidates"), sets.select("id", "tokens")
 
 
 def _fits(a: str, b: str) -> Column:
     """Length, positional and parity filters for two lines that share a token; true for the rarest one that similar lines share."""
     both = lambda name: (F.col(f"{a}.{name}"), F.col(f"{b}.{name}"))
-    (n, m), (i, j), (e, f), (p, q) = map(both, ("n", "pos", "emits", "parity"))
+    (n, m), (i, j), (e, f) = map(both, ("n", "pos", "emits"))
     length = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
     left = F.least(e - i, f - j) >= F.least(n, m, F.lit(EXTRA))
-    apart = F.bit_count(p.bitwiseXOR(q)) * (NUM + DEN) <= (n + m) * (DEN - NUM)
-    return length & left & apart
+    apart = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in (both(f"p{k}") for k in range(WORDS))), F.lit(0))
+    return length & left & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -109,19 +126,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * DEN >= (F.size("a") + F.size("b") - common) * NUM).select(F.col("late").alias("id")).distinct()
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id, tokens`` of all lines in ``pairs``, from the text of each class's first line; filters leave out other texts before they are cut into lines."""
-    ids = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
-    places = candidates.select("id", "place.key", "place.line_no").distinct().join(ids, "id", "left_semi")
-    places = scratch.keep(places.withColumn("spot", F.xxhash64("key", "line_no")), "line-places")
-    count = places.count()
-    texts = maybe_in(_keyed(docs), F.col("key"), filter_frame(places.select("key"), count), count)
-    lines = text_lines(texts).drop("doc_id")
-    lines = maybe_in(lines, F.xxhash64("key", "line_no"), filter_frame(places.select(F.col("spot").alias("key")), count), count)
-    chosen = lines.join(places.drop("spot"), ["key", "line_no"]).dropDuplicates(["id"])
-    return scratch.keep(with_tokens(chosen).select("id", "tokens"), "line-sets")
-
-
 def matched_lines(docs: DataFrame, short_lines: bool, scratch: Scratch) -> DataFrame:
     """``key, removed``: for each text with lines that match earlier ones, their numbers.
 
@@ -129,28 +133,26 @@ def matched_lines(docs: DataFrame, short_lines: bool, scratch: Scratch) -> DataF
     line has the same words or, by tokens, a Jaccard similarity of NUM / DEN or more, whether that line is removed or not.
     """
     classes = scratch.keep(_classes(docs), "line-classes")
-    candidates = _candidates(classes, scratch)
-    whole = F.struct("place", "id", "n", "pos", "emits", "parity")
-    met = candidates.select("t", whole.alias("mine"))
-    hubs = met.groupBy("t").agg(F.min("mine").alias("hub"))
-    star = met.join(hubs, "t").where((F.col("hub.id") != F.col("mine.id")) & _fits("hub", "mine"))
+    met, sets = _candidates(docs, classes, scratch)
+    earliest, picked = F.min("mine"), F.min(F.struct(F.xxhash64("t", "mine.id").alias("by"), F.col("mine").alias("hub")))
+    hubs = met.groupBy("t").agg(F.array(earliest, picked["hub"]).alias("hubs")).select("t", F.explode("hubs").alias("hub"))
+    star = met.join(hubs, "t").where((F.col("hub.place") < F.col("mine.place")) & _fits("hub", "mine"))
     star = scratch.keep(star.select(F.col("hub.id").alias("early"), F.col("mine.id").alias("late")).distinct(), "line-star")
-    first = scratch.keep(_verified(star, _sets(docs, star, candidates, scratch)), "line-first")
-    # lines of lengths that can match lie in the same or the next band
-    band = F.floor(F.log(F.col("mine.n").cast("double")) / F.log(F.lit(DEN / NUM * 1.0001))).cast("int")
+    first = scratch.keep(_verified(star, sets), "line-first")
     later = met.join(first, F.col("mine.id") == first["id"], "left_anti")
-    later = later.select("t", "mine", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    earlier = met.select("t", band.alias("band"), F.col("mine").alias("other"))
-    pairs = later.join(earlier, ["t", "band"]).where((F.col("other.place") < F.col("mine.place")) & _fits("other", "mine"))
-    pairs = scratch.keep(pairs.select(F.col("other.id").alias("early"), F.col("mine.id").alias("late")).distinct().join(star, ["early", "late"], "left_anti"), "line-pairs")
-    second = _verified(pairs, _sets(docs, pairs, candidates, scratch))
+    pairs = later.join(met.select("t", F.col("mine").alias("other")), "t").where((F.col("other.place") < F.col("mine.place")) & _fits("other", "mine"))
+    pairs = pairs.select(F.col("other.id").alias("early"), F.col("mine.id").alias("late")).distinct()
+    second = _verified(scratch.keep(pairs.join(star, ["early", "late"], "left_anti"), "line-pairs"), sets)
     gone = first.unionByName(second).withColumn("gone", F.lit(True))
 
     whose = classes.join(gone, "id", "left").where(F.col("gone") | (F.col("lines") > 1))
     whose = whose if short_lines else whose.where("n > 0")
-    whose = whose.select("id", "more", "place", "gone").hint("shuffle_hash")
-    lines = text_lines(_keyed(docs)).withColumns(_ids()).select("id", "more", F.struct("doc_id", "key", "line_no").alias("here"))
-    found = lines.join(whose, ["id", "more"]).where((F.col("here") != F.col("place")) | F.col("gone"))
+    whose = whose.select("id", "more", "place", "gone")
+    whose = scratch.keep(whose, "line-whose")
+    count = whose.count()
+    lines = maybe_in(text_lines(_keyed(docs)).withColumn("id", F.xxhash64("line")), F.col("id"), filter_frame(whose.select(F.col("id").alias("key")), count), count)
+    lines = lines.select("id", _ids()["more"].alias("more"), F.struct("doc_id", "key", "line_no").alias("here"))
+    found = lines.join(whose.hint("shuffle_hash"), ["id", "more"]).where((F.col("here") != F.col("place")) | F.col("gone"))
     return found.groupBy("here.key").agg(F.collect_set("here.line_no").alias("removed"))
 
 
