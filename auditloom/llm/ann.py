@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import durable
 from auditloom.llm.vectors import usable
 
-#: The index is fitted on at most so many rows, the smallest by a hash of the id; every row is indexed.
-SAMPLE = 4096
+#: The index is fitted on SAMPLE rows, or SAMPLE_PER_PARTITION for each partition if that is more: the smallest by a hash of the id. Every row is indexed.
+SAMPLE, SAMPLE_PER_PARTITION = 4096, 64
 NEIGHBOURS = 12
 #: Partitions: one for each so many rows, within these bounds.
 ROWS_PER_PARTITION, LEAST_PARTITIONS, MOST_PARTITIONS = 8192, 16, 1024
 #: Rows of a partition are searched in blocks of about these many rows and queries.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 8192
 #: Share of true neighbours that the calibrated number of probed partitions finds on the sample.
 TARGET_RECALL = 0.96
 
@@ -134,7 +134,7 @@ def calibrate(router: Router, x: np.ndarray, k: int, recall: float, seed: int =
 
 
 def fit_router(x: np.ndarray, parts: int, k: int, recall: float = TARGET_RECALL) -> Router:
-    parts = max(1, min(parts, len(x) // 64))
+    parts = max(1, min(parts, len(x) // SAMPLE_PER_PARTITION))
     if parts == 1:
         d = x.shape[1] if x.ndim == 2 and len(x) else 1
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0)
@@ -180,13 +180,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """
     base = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     base = base.where(usable(F.col("v")) & F.col("id").isNotNull())
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
+    total = base.count()
+    parts = max(LEAST_PARTITIONS, min(MOST_PARTITIONS, total // ROWS_PER_PARTITION))
+    sample = base.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, SAMPLE_PER_PARTITION * parts)).select("v").toPandas()["v"]
     lengths = [len(v) for v in sample]
     dim = max(set(lengths), key=lengths.count) if lengths else 1
     x = np.stack([np.asarray(v, np.float64) for v in sample if len(v) == dim]) if lengths else np.zeros((0, 1))
     base = base.where(F.size("v") == dim)
-    total = base.count()
-    router = fit_router(x, max(LEAST_PARTITIONS, min(MOST_PARTITIONS, total // ROWS_PER_PARTITION)), k)
+    router = fit_router(x, parts, k)
 
     def route(parts):
         for pdf in parts:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,8 +22,10 @@ CHUNK = 256
 COPY_SHARE = 0.5
 #: Pages on either side of a page among which its neighbours and those third pages are found.
 REACH = 4
+#: Bits that an alignment of two pages may hold at once; longer pages are aligned by halves.
+TABLE_BITS = 1 << 26
 
-_TAG = re.compile(r"""<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -71,6 +72,7 @@ def parse(page: str) -> list[Block]:
     words: list[str] = []
     dropped = ""  # the element whose end is awaited while skipping
     depth, article, main, at, size = 0, 0, 0, 0, len(page)
+    last = {mark: page.rfind(mark) for mark in (">", "-->", "]]>")}  # no search runs past the last one, so the scan is linear
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split())
@@ -86,10 +88,16 @@ def parse(page: str) -> list[Block]:
             words.append(page[at:lt])
         if lt == size:
             break
+        if lt > last[">"]:  # no tag is closed from here on; a comment without an end hides the rest
+            if not dropped and not page.startswith("<!--", lt):
+                words.append(page[lt:])
+            break
+        mark = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ""
+        if mark and last[mark] >= lt + 4:
+            at = page.index(mark, lt + 4) + 3
+            continue
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
         if not m:
-            if page.startswith("<!--", lt):  # a comment without an end hides the rest
-                break
             if not dropped:
                 words.append("<")
             at = lt + 1
@@ -144,31 +152,75 @@ def parse(page: str) -> list[Block]:
     return [Block(t, m) for t, _, m in blocks]
 
 
-def shared_lines(own: list[int], other: list[int]) -> list[int]:
-    """Positions in ``own`` of a longest common subsequence with ``other``; repeated lines pair up in order of occurrence."""
-    seen: dict[int, int] = {}
-    place = {}
+def _rows(own: list[int], other: list[int], keep: bool) -> list[int]:
+    """Bit vectors of the longest common subsequences of growing parts of ``own`` with all starts of ``other``.
+
+    A vector's zeros up to bit j count the lines that the part has in common with ``other[:j + 1]``. All rows with
+    ``keep``, else the last.
+    """
+    at: dict[int, int] = {}
     for j, line in enumerate(other):
-        k = seen[line] = seen.get(line, 0) + 1
-        place[line, k] = j
-    seen.clear()
-    tails: list[int] = []
-    ends: list[int] = []
-    back: dict[int, int] = {}
-    for i, line in enumerate(own):
-        k = seen[line] = seen.get(line, 0) + 1
-        j = place.get((line, k))
-        if j is None:
-            continue
-        n = bisect_left(tails, j)
-        tails[n : n + 1] = [j]
-        ends[n : n + 1] = [i]
-        back[i] = ends[n - 1] if n else -1
-    out, i = [], ends[-1] if ends else -1
-    while i >= 0:
-        out.append(i)
-        i = back[i]
-    return out[::-1]
+        at[line] = at.get(line, 0) | 1 << j
+    mask = (1 << len(other)) - 1
+    v, rows = mask, []
+    for line in own:
+        u = v & at.get(line, 0)
+        v = (v + u | v - u) & mask
+        if keep:
+            rows.append(v)
+    return rows if keep else [v]
+
+
+def _lengths(v: int, n: int) -> list[int]:
+    """Common lines with the starts of 0 to n lines."""
+    out = [0]
+    for bit in reversed(f"{v:0{n}b}" if n else ""):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def shared_lines(own: list[int], other: list[int]) -> list[int]:
+    """Positions in ``own`` of a longest common subsequence with ``other``.
+
+    Lines that only one side has are left out and equal ends are matched first; the rest is aligned by bit vectors, and by
+    halves where these would take more than TABLE_BITS.
+    """
+    here, there = set(own), set(other)
+    places = [i for i, line in enumerate(own) if line in there]
+    a, b = [own[i] for i in places], [line for line in other if line in here]
+    return [places[i] for i in _aligned(a, b)]
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    m = 0
+    while m < min(len(a), len(b)) - n and a[-1 - m] == b[-1 - m]:
+        m += 1
+    ends = list(range(n)), list(range(len(a) - m, len(a)))
+    x, y = a[n : len(a) - m], b[n : len(b) - m]
+    if not x or not y:
+        inner = []
+    elif len(x) * len(y) <= TABLE_BITS or len(x) == 1:
+        rows, inner, i, j = _rows(x, y, True), [], len(x) - 1, len(y) - 1
+        while i >= 0 and j >= 0:
+            upto, above = (2 << j) - 1, rows[i - 1] if i else -1
+            if x[i] == y[j]:
+                inner.append(i)
+                i, j = i - 1, j - 1
+            elif (rows[i] & upto).bit_count() == (above & upto).bit_count():
+                i -= 1
+            else:
+                j -= 1
+        inner.reverse()
+    else:
+        half = len(x) // 2
+        ahead = _lengths(_rows(x[:half], y, False)[0], len(y))
+        behind = _lengths(_rows(x[half:][::-1], y[::-1], False)[0], len(y))[::-1]
+        cut = max(range(len(y) + 1), key=lambda j: ahead[j] + behind[j])
+        inner = _aligned(x[:half], y[:cut]) + [half + i for i in _aligned(x[half:], y[cut:])]
+    return ends[0] + [n + i for i in inner] + ends[1]
 
 
 def _alike(a: str, b: str) -> int:

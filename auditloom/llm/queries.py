@@ -128,4 +128,41 @@ ORACLE: dict[str, str] = {
             FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
         )
         SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM e""",
+    "op6_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL
+        ), w AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM l),
+        k AS (SELECT doc_id, no, array_to_string(words, ' ') AS k, words FROM w WHERE len(words) > 0),
+        c AS (SELECT k, any_value(words) AS words, min((doc_id, no)) AS place, row_number() OVER (ORDER BY k) AS id FROM k GROUP BY k),
+        t AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i : i + 4], ' '))) AS t FROM c WHERE len(words) >= 5),
+        n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+        p AS (SELECT a.id AS a, b.id AS b, count(*) AS both FROM t a JOIN t b ON a.t = b.t AND a.id <> b.id GROUP BY ALL),
+        g AS (SELECT DISTINCT p.b AS id FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b JOIN c e ON e.id = a JOIN c f ON f.id = b
+              WHERE e.place < f.place AND both * 5 >= (x.n + y.n - both) * 4),
+        r AS (SELECT k.doc_id, k.no FROM k JOIN c USING (k) WHERE (k.doc_id, k.no) <> c.place OR c.id IN (SELECT id FROM g)),
+        s AS (SELECT l.doc_id, count(*) AS n_lines, count(r.no) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (r.no IS NULL), '') AS text
+              FROM l LEFT JOIN r USING (doc_id, no) GROUP BY l.doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, s.text FROM documents d LEFT JOIN s USING (doc_id)""",
+    "op8_chat": r"""
+        WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        l AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS no FROM m),
+        q AS (SELECT conv_id, turn, no, len(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+')) - len(replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '>', '')) AS level,
+                     regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS raw FROM l),
+        o AS (SELECT *, level = 0 AND NOT (regexp_matches(raw, '^[ \t]*(On\b.*\bwrote:|Am\b.*\bschrieb.*:|Le\b.*\ba écrit ?:|El\b.*\bescribió:)[ \t]*$')
+                     AND coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY no), 0) > 0) AS own, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS text FROM q),
+        x AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (own), ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text,
+                     count(*) FILTER (level > 0) AS n_quoted FROM o GROUP BY ALL),
+        b AS (SELECT *, (level <> lag(level, 1, -1) OVER w OR text = '' OR lag(text, 1, '') OVER w = '')::INT AS broken FROM o WINDOW w AS (PARTITION BY conv_id, turn ORDER BY no)),
+        u AS (SELECT *, sum(broken) OVER (PARTITION BY conv_id, turn ORDER BY no) AS run FROM b),
+        f AS (SELECT * FROM u WHERE text <> ''),
+        p AS (SELECT conv_id, turn, level, 0 AS whole, text FROM f
+              UNION SELECT conv_id, turn, level, 1, string_agg(text, ' ' ORDER BY no) FROM f GROUP BY conv_id, turn, level, run
+              UNION SELECT conv_id, turn, level, 2, string_agg(text, ' ' ORDER BY no) FROM f GROUP BY conv_id, turn, level),
+        h AS (SELECT a.conv_id, a.turn, a.level, a.whole, max(b.turn) AS source FROM p a JOIN p b ON b.level = 0 AND a.level > 0 AND a.conv_id = b.conv_id AND a.text = b.text AND b.turn < a.turn GROUP BY ALL),
+        k AS (SELECT conv_id, turn, source FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, whole DESC, source DESC) = 1),
+        t AS (SELECT conv_id, turn, coalesce(source, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS parent, source IS NOT NULL AS linked FROM m LEFT JOIN k USING (conv_id, turn)),
+        r AS (SELECT conv_id, turn, turn AS root, 0::BIGINT AS depth FROM t WHERE parent IS NULL
+              UNION ALL SELECT t.conv_id, t.turn, r.root, r.depth + 1 FROM t JOIN r ON t.conv_id = r.conv_id AND t.parent = r.turn)
+        SELECT m.conv_id, m.turn, m.role, x.text, t.parent AS parent_turn, r.root AS root_turn, r.depth, t.linked, x.n_quoted::INT AS n_quoted
+        FROM m JOIN x USING (conv_id, turn) JOIN t USING (conv_id, turn) JOIN r USING (conv_id, turn)""",
 }

@@ -131,39 +131,34 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_i
     dims = F.size("v")
 
     def place(parts):
+        first = {}
         for pdf in parts:
             if len(pdf):
-                cells = []
-                for v in pdf["v"]:
-                    line = np.random.default_rng(seed).normal(size=(len(v), PROJECTIONS))[:, 0]
-                    v = np.asarray(v, np.float64)
-                    cells.append(math.floor(float(v @ line) / np.linalg.norm(v) / (REACH * math.sqrt(2 - 2 * cosine))))
-                yield pdf.assign(cell=np.array(cells, np.int32))
+                cells = np.empty(len(pdf), np.int32)
+                sizes = pdf["v"].map(len).to_numpy()
+                for d in np.unique(sizes):
+                    if d not in first:
+                        first[d] = np.random.default_rng(seed).normal(size=(d, PROJECTIONS))[:, 0]
+                    x = np.stack(pdf["v"][sizes == d]).astype(np.float64)
+                    cells[sizes == d] = np.floor(x @ first[d] / np.linalg.norm(x, axis=1) / (REACH * math.sqrt(2 - 2 * cosine)))
+                yield pdf.assign(cell=cells)
 
     kind = base.schema["v"].dataType.simpleString()
     classes = durable(classes.mapInPandas(place, f"v {kind}, rep bigint, n bigint, cell int").withColumn("dim", dims), "vec-classes")
     # cells are a handful: the projections of unit vectors spread over a few window widths
-    sizes = {(r.dim, r.cell): r["count"] for r in classes.groupBy("dim", "cell").count().collect()}
-    blocks = {key: -(-n // BLOCK) for key, n in sizes.items()}
-    spark = vectors.sparkSession
-    pairs, number = [], 0
-    for (dim, cell), n in sorted(blocks.items()):
-        for i in range(n):
-            others = [(cell, j) for j in range(i, n)] + [(cell + 1, j) for j in range(blocks.get((dim, cell + 1), 0))]
-            for other, j in others:
-                pairs.append((dim, cell, i, 0, number))
-                if (other, j) != (cell, i):
-                    pairs.append((dim, other, j, 1, number))
-                number += 1
-    if pairs:
-        plan = F.broadcast(spark.createDataFrame(pairs, "dim int, cell int, block int, side int, pair int"))
-        counts = F.broadcast(spark.createDataFrame([(d, c, n) for (d, c), n in blocks.items()], "dim int, cell int, blocks int"))
-        dealt = classes.join(counts, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = dealt.join(plan, ["dim", "cell", "block"]).select("pair", "side", "rep", "n", "v")
-        found = dealt.groupBy("pair").applyInPandas(lambda pdf: _compare(pdf, cosine, seed), "rep bigint, links bigint, low bigint")
-        found = durable(found, "vec-links")
-    else:
-        found = spark.createDataFrame([], "rep bigint, links bigint, low bigint")
+    sizes = durable(classes.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "vec-cells")
+    dealt = classes.join(sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = sizes.select("dim", F.col("cell").alias("other_cell"), F.col("blocks").alias("other_blocks"))
+    beside = sizes.join(other, (sizes["dim"] == other["dim"]) & F.col("other_cell").between(F.col("cell"), F.col("cell") + 1)).drop(other["dim"])
+    # pairs of blocks: of one cell each pair once, of two adjacent cells every pair
+    pairs = beside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("same", F.col("cell") == F.col("other_cell"))
+    pairs = pairs.withColumn("other", F.explode(F.sequence(F.when(F.col("same"), F.col("block")).otherwise(0), F.col("other_blocks") - 1)))
+    pair = F.struct("dim", "cell", "block", "other_cell", "other").alias("pair")
+    sides = pairs.select(pair, "dim", "cell", "block", F.lit(0).alias("side"))
+    sides = sides.unionByName(pairs.where(~F.col("same") | (F.col("block") != F.col("other"))).select(pair, "dim", F.col("other_cell").alias("cell"), F.col("other").alias("block"), F.lit(1).alias("side")))
+    met = dealt.join(sides, ["dim", "cell", "block"]).select("pair", "side", "rep", "n", "v")
+    found = met.groupBy("pair").applyInPandas(lambda pdf: _compare(pdf, cosine, seed), "rep bigint, links bigint, low bigint")
+    found = durable(found, "vec-links")
     nodes = connected_components(found.select(F.col("rep").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("rep"), "component")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = classes.select("v", "rep", "n").join(linked, "rep", "left").join(nodes, "rep", "left")

@@ -31,3 +31,11 @@ def test_long_chain_and_empty_table(spark):
     got = link_quotations(spark.createDataFrame(chain, SCHEMA)).collect()
     assert max(r.depth for r in got) == len(chain) - 1 and {r.root_turn for r in got} == {0}
     assert link_quotations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_and_repeated_turns(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    rows = [(1, 0, "u", long, ""), (1, 1, "a", "> line 19999\nyes", ""), (1, 1, "a", "> line 19999\nyes", ""), (1, 2, "u", "> yes\n" * 3, "")]
+    got = link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 4 and [r.parent_turn for r in sorted(got, key=lambda r: r.turn)] == [None, 0, 0, 1]
+    assert max(len(r.text) for r in got) == len(long)

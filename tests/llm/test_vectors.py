@@ -46,3 +46,15 @@ def test_search_recall_and_scores(spark, vectors):
     assert np.mean(found) >= 0.9
     few = ann.nearest(spark.createDataFrame(rows[:3], ROWS), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 2 and ann.nearest(spark.createDataFrame([], ROWS), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_vectors_with_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, [1.0, 0.0], 1, 0.1), (None, [1.0, 0.0], 1, 0.1), (4, [1.0, 0.01], 1, 0.1), (4, [1.0, 0.01], 1, 0.1), (9, [1.0, 0.0, 0.0], 1, 0.1), (2, [0.0, 1.0], 1, 0.1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int, score double")
+    got = vector_dedup.vector_groups(frame).collect()
+    assert len(got) == len(rows) and {r.vec_id: r.component_id for r in got if r.vec_id in (2, 9)} == {2: 2, 9: 9}
+    assert all(r.component_id == 4 for r in got if r.vec_id == 4)
+    found = ann.nearest(frame, F.col("vec_id") % 2 == 0).collect()
+    assert {(r.query_id, r.vec_id) for r in found} == {(2, 4), (4, 2)}  # of the common length, with an id, each id once
