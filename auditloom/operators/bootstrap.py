@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions.columns import missing_to_null
 from auditloom.operators.rank import eaurc_by_method
 
 REPLICATES, SEED, MIN_FINITE = 2000, 42, 100
+#: Score rows (cases times methods) up to which a task takes whole replicates; 40 bytes each, sent to every task.
+DENSE_ROWS = 1 << 18
 
 
 def draws(cases: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
@@ -25,13 +33,87 @@ def draws(cases: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> D
     return every.join(placed.select("site", "_i", "case_id", "dice", "site_pos"), ["site", "_i"]).select("rep", "site", "site_pos", "draw_pos", "case_id", "dice")
 
 
-def replicate_table(scored: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """Excess AURC of every method in every replicate, within sites and pooled."""
-    cases = scored.select("case_id", "site", "site_pos", "case_pos", "dice").distinct()
-    drawn = draws(cases, replicates, seed).join(scored.select("case_id", "site", "method", "score"), ["case_id", "site"])
+def numpy_draws(spark: SparkSession, sizes: list[tuple[str, int]], replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """``rep, site, draw_pos, i`` from numpy's generator, site after site in each replicate: the draws of published results (O-83).
+
+    One stream gives all draws, so the driver makes them; ``draws`` is what larger tables take.
+    """
+    rng = np.random.default_rng(seed)
+    rows = [(r, site, rng.integers(0, n, n).tolist()) for r in range(replicates) for site, n in sizes]
+    drawn = spark.createDataFrame(rows, "rep int, site string, i array<bigint>")
+    return drawn.select("rep", "site", F.posexplode("i").alias("draw_pos", "i"))
+
+
+def replicate_table(scored: DataFrame, replicates: int = REPLICATES, seed: int = SEED, dense_rows: int = DENSE_ROWS, published: bool = False) -> DataFrame:
+    """``rep, method, eaurc_within, eaurc_pooled`` of every method in every replicate.
+
+    Up to ``dense_rows`` rows of scores are sent to all tasks as arrays, and a task makes whole replicates of them; larger
+    tables are drawn and ranked as relations. Both take the same draws. ``published`` takes numpy's stream instead (see ``numpy_draws``).
+    """
+    rows = scored.select("site", "site_pos", "case_pos", "case_id", "dice", "method", "score")
+    if rows.limit(dense_rows + 1).count() <= dense_rows:
+        return _dense_replicates(rows, replicates, seed, published)
+    cases = rows.select("case_id", "site", "site_pos", "case_pos", "dice").distinct()
+    if published:
+        raise ValueError(f"published draws are made for at most {dense_rows} rows of scores")
+    drawn = draws(cases, replicates, seed).join(rows.select("case_id", "site", "method", "score"), ["case_id", "site"])
     return eaurc_by_method(drawn, ["rep"], [F.col("draw_pos")])
 
 
+def _area(order: np.ndarray, risk: np.ndarray) -> float:
+    """Mean over k of the mean risk of the first k in ``order``."""
+    return float((np.cumsum(risk[order]) / np.arange(1, len(risk) + 1)).mean())
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Positions by ascending key; of equal ones the later comes first."""
+    return len(key) - 1 - np.argsort(key[::-1], kind="stable")
+
+
+def _dense_replicates(rows: DataFrame, replicates: int, seed: int, published: bool) -> DataFrame:
+    spark = rows.sparkSession
+    table = rows.toPandas()  # at most DENSE_ROWS rows, as the caller has counted
+    sites = list(table[["site_pos", "site"]].drop_duplicates().sort_values("site_pos")["site"])
+    methods, risk, score = sorted(table["method"].unique()), {}, {}
+    for site in sites:
+        own = table[table["site"] == site].sort_values(["case_pos", "case_id"])
+        cases = own.drop_duplicates("case_id")
+        risk[site] = 1 - cases["dice"].to_numpy(np.float64)
+        score[site] = {m: own[own["method"] == m]["score"].to_numpy(np.float64) for m in methods}
+    shared = spark.sparkContext.broadcast((risk, score))
+
+    def draw(rep: int, site: str, n: int) -> np.ndarray:
+        return np.array([int(hashlib.md5(f"{seed}|{site}|{rep}|{d}".encode()).hexdigest()[:8], 16) % n for d in range(n)])
+
+    def one(rep: int, drawn: dict[str, np.ndarray]) -> list[tuple]:
+        risk, score = shared.value
+        r = {s: risk[s][drawn[s]] for s in sites}
+        pool = np.concatenate([r[s] for s in sites]) if sites else np.zeros(0)
+        best, best_pool, out = {s: _area(_ranked(r[s]), r[s]) for s in sites}, _area(_ranked(pool), pool), []
+        for m in methods:
+            x = {s: score[s][m][drawn[s]] for s in sites}
+            within = np.mean([_area(_ranked(x[s]), r[s]) - best[s] for s in sites])
+            out.append((rep, m, float(within), _area(_ranked(np.concatenate([x[s] for s in sites])), pool) - best_pool))
+        return out
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            sizes = {s: len(shared.value[0][s]) for s in sites}
+            found = []
+            for row in part.itertuples():
+                stream = {s: np.asarray(i, np.int64) for s, i in zip(row.sites, row.i, strict=True)} if published else {s: draw(row.rep, s, n) for s, n in sizes.items()}
+                found += one(row.rep, stream)
+            yield pd.DataFrame(found, columns=["rep", "method", "eaurc_within", "eaurc_pooled"], dtype=object)
+
+    if published:
+        drawn = numpy_draws(spark, [(s, len(risk[s])) for s in sites], replicates, seed)
+        reps = drawn.groupBy("rep", "site").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw_pos", "i"))), lambda x: x["i"]).alias("i"))
+        reps = reps.groupBy("rep").agg(F.collect_list("site").alias("sites"), F.collect_list("i").alias("i"))
+    else:
+        reps = spark.range(0, replicates, 1, max(1, min(replicates, spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("rep"))
+    return reps.mapInPandas(run, "rep int, method string, eaurc_within double, eaurc_pooled double")
+
+
 def interval(x: Column, confidence: float = 0.95, least: int = MIN_FINITE) -> tuple[Column, Column]:
     """Percentile interval over the replicates, null under ``least`` of them (O-84)."""
     tail = (1 - confidence) / 2
@@ -44,16 +126,16 @@ def p_value(x: Column, least: int = MIN_FINITE) -> Column:
     return F.when(F.count(x) >= least, F.least(F.lit(1.0), 2.0 * (fewer + 1) / (F.count(x) + 1)))
 
 
-def bootstrap_ci(replicates: DataFrame, points: DataFrame) -> DataFrame:
+def bootstrap_ci(replicates: DataFrame, points: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Point estimates with their intervals (O-88)."""
     columns = []
     for scope in ("within", "pooled"):
-        low, high = interval(F.col(f"eaurc_{scope}"))
+        low, high = interval(missing_to_null(F.col(f"eaurc_{scope}")), confidence)
         columns += [low.alias(f"{scope}_low"), high.alias(f"{scope}_high")]
     return points.join(replicates.groupBy("method").agg(F.count("*").alias("n_boot"), *columns), "method")
 
 
-def paired_tests(replicates: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
+def paired_tests(replicates: DataFrame, points: DataFrame, pairs: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Differences method minus reference, per replicate and in the point estimates (O-86, O-89)."""
 
     def differences(table: DataFrame, on: list[str]) -> DataFrame:
@@ -64,8 +146,9 @@ def paired_tests(replicates: DataFrame, points: DataFrame, pairs: DataFrame) ->
 
     columns = []
     for scope in ("within", "pooled"):
-        low, high = interval(F.col(scope))
-        columns += [low.alias(f"{scope}_low"), high.alias(f"{scope}_high"), p_value(F.col(scope)).alias(f"{scope}_p")]
+        x = missing_to_null(F.col(scope))
+        low, high = interval(x, confidence)
+        columns += [low.alias(f"{scope}_low"), high.alias(f"{scope}_high"), p_value(x).alias(f"{scope}_p")]
     spread = differences(replicates, ["rep"]).groupBy("method", "reference").agg(F.count("within").alias("n_boot"), *columns)
     point = differences(points, []).withColumnsRenamed({"within": "within_diff", "pooled": "pooled_diff"})
     return point.join(spread, ["method", "reference"])

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.columns import safe_div
+from auditloom.functions.columns import missing_to_null, safe_div
 
 CV_MIN, KURTOSIS_MAX, CORRELATION_MAX = 0.01, 5.0, 0.90
 
 
 def reference_moments(reference: DataFrame) -> DataFrame:
     """Mean and population standard deviation of each feature (O-64)."""
-    return reference.groupBy("feature").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
+    value = missing_to_null(F.col("value"))
+    return reference.groupBy("feature").agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
 
 
 def zscore(features: DataFrame, reference: DataFrame) -> DataFrame:
@@ -28,6 +29,7 @@ def rad_l2(features: DataFrame, reference: DataFrame) -> DataFrame:
 
 def fill_mean(features: DataFrame) -> DataFrame:
     """Missing values become the feature's mean, for selection only (O-69)."""
+    features = features.withColumn("value", missing_to_null(F.col("value")))
     means = features.groupBy("feature").agg(F.avg("value").alias("_mean"))
     return features.join(F.broadcast(means), "feature").withColumn("value", F.coalesce("value", "_mean")).drop("_mean")
 

@@ -11,14 +11,36 @@ VOTES = 3
 MIN_AREA = 10
 
 
-def majority_vote(votes: DataFrame, threshold: int = VOTES) -> DataFrame:
-    """Voxels that at least ``threshold`` folds mark; ``votes``: ``case_id, fold, voxel`` (O-48).
+def usable_folds(folds: DataFrame) -> DataFrame:
+    """``case_id, fold, n_files, n_usable``: the folds of each case whose mask has the shape of its first one (O-48).
 
-    The threshold is absolute. A case with a single fold passes through; folds of another shape are for the reader to drop.
+    ``folds``: ``case_id, fold`` of every mask file, also of empty masks, and ``shape`` if it is known; first is by fold.
     """
-    folds = votes.groupBy("case_id").agg(F.countDistinct("fold").alias("_folds"))
-    counted = votes.groupBy("case_id", "voxel").agg(F.countDistinct("fold").alias("votes"))
-    return counted.join(folds, "case_id").where((F.col("votes") >= threshold) | (F.col("_folds") == 1)).drop("_folds")
+    shape = F.col("shape") if "shape" in folds.columns else F.lit(0)
+    rows = folds.select("case_id", "fold", shape.alias("shape")).distinct()
+    first = rows.groupBy("case_id").agg(F.min_by("shape", "fold").alias("first"), F.count("*").alias("n_files"))
+    kept = rows.join(first, "case_id").where(F.col("shape").eqNullSafe(F.col("first")))
+    sizes = kept.groupBy("case_id").agg(F.count("*").alias("n_usable"))
+    return kept.join(sizes, "case_id").select("case_id", "fold", "n_files", "n_usable")
+
+
+def vote_cases(folds: DataFrame) -> DataFrame:
+    """Whether each case can be voted on: a single file passes through, else two masks of one shape are needed (O-48)."""
+    kept = usable_folds(folds).select("case_id", "n_files", "n_usable").distinct()
+    return kept.withColumn("votable", (F.col("n_files") == 1) | (F.col("n_usable") >= 2))
+
+
+def majority_vote(votes: DataFrame, folds: DataFrame | None = None, threshold: int = VOTES) -> DataFrame:
+    """Voxels that at least ``threshold`` folds mark; ``votes``: ``case_id, fold, voxel`` of foreground (O-48).
+
+    The threshold is absolute. ``folds`` tells which masks exist (see ``usable_folds``); without it a fold exists that marks
+    anything. A case with a single mask file passes through, one with several but fewer than two usable has no rows.
+    """
+    kept = usable_folds(votes.select("case_id", "fold") if folds is None else folds)
+    rows = votes.select("case_id", "fold", "voxel").join(kept, ["case_id", "fold"])
+    counted = rows.groupBy("case_id", "voxel", "n_files", "n_usable").agg(F.countDistinct("fold").alias("votes"))
+    voted = (F.col("votes") >= threshold) & (F.col("n_usable") >= 2)
+    return counted.where(voted | (F.col("n_files") == 1)).drop("n_files", "n_usable")
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,19 +60,56 @@ def ensemble_dice(n_a: Column, n_b: Column, n_both: Column) -> Column:
     return safe_div(2 * n_both, n_a + n_b)
 
 
-def risk_dice(prediction: DataFrame, truth: DataFrame) -> DataFrame:
-    """Dice of each case against its truth; cases without one are absent (O-49)."""
+def vote_dice(prediction: DataFrame, truth: DataFrame) -> DataFrame:
+    """Risk Dice of one mask per case against its truth; cases without one are absent (O-49)."""
     dice = strict_dice(F.col("n_a"), F.col("n_b"), F.col("n_both")).alias("dice")
     return overlap(prediction, truth, ["case_id"]).select("case_id", dice).where("dice is not null")
 
 
-def mean_pairwise_dice(votes: DataFrame) -> DataFrame:
-    """Mean ensemble Dice over unordered pairs of folds of each case, and the score, its negative (O-51 to O-54).
+def label_one(voxels: DataFrame) -> DataFrame:
+    """Voxels of label 1, after truncation to whole numbers (O-49, O-55)."""
+    return voxels.where(F.col("label").cast("int") == 1)
+
+
+def fold_dice(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """``case_id, fold, dice`` of every fold's mask (``case_id, fold, voxel``) against its case's truth (``case_id, voxel``); null where either is empty (O-49)."""
+    a = predictions.groupBy("case_id", "fold").agg(F.count("*").alias("n_a"))
+    b = truth.groupBy("case_id").agg(F.count("*").alias("n_b"))
+    met = predictions.join(truth.select("case_id", "voxel"), ["case_id", "voxel"]).groupBy("case_id", "fold").agg(F.count("*").alias("n_both"))
+    sizes = a.join(b, "case_id", "left").join(met, ["case_id", "fold"], "left").fillna(0, ["n_b", "n_both"])
+    return sizes.select("case_id", "fold", strict_dice(F.col("n_a"), F.col("n_b"), F.col("n_both")).alias("dice"))
+
+
+def site_dice(predictions: DataFrame, truth: DataFrame, held_out: DataFrame | None = None) -> DataFrame:
+    """Risk Dice of each case: the mean over its folds with a Dice, or that of its held-out fold alone (O-50).
 
+    ``held_out`` (``case_id, fold``) is given for the reference site. Cases without any valid Dice have no row. Sites
+    that are split come in halves (``halves``), whose ids end in the side; their base id decides the held-out fold.
+    """
+    found = fold_dice(predictions, truth).where("dice is not null")
+    if held_out is not None:
+        base = F.regexp_replace("case_id", "_[LR]$", "")
+        own = held_out.select(F.col("case_id").alias("_base"), F.col("fold").alias("_fold"))
+        found = found.join(own, ((F.col("case_id") == F.col("_base")) | (base == F.col("_base"))) & (F.col("fold") == F.col("_fold")), "left_semi")
+    return found.groupBy("case_id").agg(F.avg("dice").alias("dice"))
+
+
+def halves(voxels: DataFrame, axis: str, size: int) -> DataFrame:
+    """Both halves of each case as cases of their own, ``<case>_L`` and ``<case>_R`` (O-35, O-50, O-52)."""
+    cut = split_halves(voxels, axis, size)
+    return cut.withColumn("case_id", F.concat_ws("_", F.col("case_id").cast("string"), "side")).drop("side")
+
+
+def mean_pairwise_dice(votes: DataFrame, folds: DataFrame | None = None) -> DataFrame:
+    """Mean ensemble Dice over unordered pairs of folds of each case, and the score, its negative (O-51 to O-53).
+
+    ``folds`` (``case_id, fold``) tells which masks exist, empty ones included; without it only folds that mark anything do.
+    A pair of empty masks has no Dice; a case without any Dice, as with fewer than two masks, keeps a row of nulls.
     Pairs of folds arise per voxel (few folds), not by joining masks with each other.
     """
     votes = votes.select("case_id", "fold", "voxel").distinct()
-    sizes = votes.groupBy("case_id", "fold").agg(F.count("*").alias("n"))
+    folds = (votes if folds is None else folds).select("case_id", "fold").distinct()
+    sizes = folds.join(votes.groupBy("case_id", "fold").agg(F.count("*").alias("n")), ["case_id", "fold"], "left").fillna(0, ["n"])
     at = votes.groupBy("case_id", "voxel").agg(F.sort_array(F.collect_set("fold")).alias("folds"))
     pair = F.explode(F.flatten(F.transform("folds", lambda a: F.transform(F.filter("folds", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
     shared = at.select("case_id", pair.alias("p")).groupBy("case_id", F.col("p.a").alias("fold_a"), F.col("p.b").alias("fold_b")).agg(F.count("*").alias("n_both"))
@@ -58,7 +117,14 @@ def mean_pairwise_dice(votes: DataFrame) -> DataFrame:
     b = sizes.select("case_id", F.col("fold").alias("fold_b"), F.col("n").alias("n_b"))
     pairs = a.join(b, "case_id").where("fold_a < fold_b").join(shared, ["case_id", "fold_a", "fold_b"], "left").fillna(0, ["n_both"])
     dice = pairs.withColumn("dice", ensemble_dice(F.col("n_a"), F.col("n_b"), F.col("n_both")))
-    return dice.groupBy("case_id").agg(F.avg("dice").alias("mean_dice"), F.count("dice").alias("n_pairs")).withColumn("score", -F.col("mean_dice"))
+    means = dice.groupBy("case_id").agg(F.avg("dice").alias("mean_dice"), F.count("dice").alias("n_pairs")).withColumn("score", -F.col("mean_dice"))
+    return folds.select("case_id").distinct().join(means, "case_id", "left").fillna(0, ["n_pairs"])
+
+
+def ensemble_scores(cases: DataFrame, votes: DataFrame, folds: DataFrame) -> DataFrame:
+    """The Ens-Mpd score of every listed case, null where its folds give none (O-54)."""
+    found = mean_pairwise_dice(votes, folds).select("case_id", "score")
+    return cases.join(found, "case_id", "left").withColumn("method", F.lit("ens_mpd")).select("case_id", "site", "method", "score")
 
 
 def split_halves(voxels: DataFrame, axis: str, size: int) -> DataFrame:
@@ -83,11 +149,18 @@ def slice_areas(mask: DataFrame, least: int = MIN_AREA) -> DataFrame:
 def atlas_max_dice(queries: DataFrame, references: DataFrame) -> DataFrame:
     """Best overlap of each query with any reference mask and the score, its negative (O-56, O-97).
 
-    Intersections meet at the voxel; a pair that shares none has Dice zero, so only pairs that meet are formed.
+    ``voxel`` is a number. Masks meet in words of 64 voxels, so a pair costs a row for each word that both touch; a pair that shares
+    none has Dice zero and is never formed.
     """
     q_sizes = queries.groupBy("case_id").agg(F.count("*").alias("n_a"))
     r_sizes = references.groupBy("ref_id").agg(F.count("*").alias("n_b"))
-    met = queries.join(references, "voxel").groupBy("case_id", "ref_id").agg(F.count("*").alias("n_both"))
+
+    def packed(voxels: DataFrame, key: str, name: str) -> DataFrame:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("voxel"), F.lit(64)).cast("int"))
+        return voxels.groupBy(key, F.floor(F.col("voxel") / 64).alias("_word")).agg(F.bit_or(bit).alias(name))
+
+    met = packed(queries, "case_id", "_q").join(packed(references, "ref_id", "_r"), "_word")
+    met = met.groupBy("case_id", "ref_id").agg(F.sum(F.bit_count(F.col("_q").bitwiseAND(F.col("_r")))).alias("n_both"))
     dice = strict_dice(F.col("n_a"), F.col("n_b"), F.col("n_both"))
     best = met.join(r_sizes, "ref_id").join(q_sizes, "case_id").groupBy("case_id").agg(F.max(dice).alias("best"))
     some = r_sizes.agg(F.count("*").alias("_refs")).where("_refs > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import columns as C
 from auditloom.operators import bootstrap, completeness, mahalanobis, rank, stats, voxels
-from auditloom.plans import audit
+from auditloom.plans import audit, casework
 from auditloom.session import cut_lineage, table
 
 REPLICATES = bootstrap.REPLICATES
@@ -21,7 +21,7 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods, _, sites = audit.registry(spark)
-    return completeness.complete_scores(audit.cases(spark, sf_dir), audit.scores(spark, sf_dir), methods, sites)
+    return cut_lineage(completeness.complete_scores(audit.cases(spark, sf_dir), audit.scores(spark, sf_dir), methods, sites))
 
 
 def eaurc_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,9 @@ def eaurc_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aurc_per_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = rank.excess_aurc(_scored(spark, sf_dir), ["site", "method"], ["site"], [F.col("case_pos")])
+    scored = _scored(spark, sf_dir)
+    stretches = 1 if scored.limit(rank.ONE_SORT_ROWS + 1).count() <= rank.ONE_SORT_ROWS else rank.STRETCHES
+    got = rank.excess_aurc(scored, ["site", "method"], ["site"], [F.col("case_pos")], stretches)
     return _round(got.select("site", "method", "n", "aurc", "oracle_aurc", "eaurc"), "aurc", "oracle_aurc", "eaurc")
 
 
@@ -54,7 +56,7 @@ def failure_scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scored = cut_lineage(_scored(spark, sf_dir))
+    scored = _scored(spark, sf_dir)
     return cut_lineage(bootstrap.replicate_table(scored, REPLICATES)), cut_lineage(rank.eaurc_by_method(scored))
 
 
@@ -72,8 +74,8 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels.majority_vote(audit.votes(spark, sf_dir)).select("case_id", "voxel", "votes")
 
 
-def risk_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(voxels.risk_dice(voxels.majority_vote(audit.votes(spark, sf_dir)), audit.truth(spark, sf_dir)), "dice")
+def vote_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(voxels.vote_dice(voxels.majority_vote(audit.votes(spark, sf_dir)), audit.truth(spark, sf_dir)), "dice")
 
 
 def mean_pairwise_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +93,16 @@ def slice_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def atlas_max_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = voxels.majority_vote(audit.votes(spark, sf_dir)).where("case_id % 10 <> 0")
-    truth = audit.truth(spark, sf_dir).where("case_id % 10 = 0").withColumnRenamed("case_id", "ref_id")
+    masks = voxels.majority_vote(audit.votes(spark, sf_dir))
+    truth = audit.truth(spark, sf_dir).withColumnRenamed("case_id", "ref_id")
     return _round(voxels.atlas_max_dice(masks, truth).select("case_id", "max_dice"), "max_dice")
 
 
 def area_weighted_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = voxels.slice_areas(audit.placed(voxels.majority_vote(audit.votes(spark, sf_dir)))).where("selected")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    joined = areas.withColumn("vec_id", (F.col("case_id") * 5 + F.col("z")) % 500).join(vectors, "vec_id")
+    total = vectors.agg(F.count("*").alias("n"))
+    joined = areas.join(F.broadcast(total)).withColumn("vec_id", (F.col("case_id") * 5 + F.col("z")) % F.col("n")).join(vectors, "vec_id")
     parts = joined.select("case_id", "area", F.posexplode("embedding").alias("dim", "v"))
     return _round(parts.groupBy("case_id", "dim").agg((F.sum(F.col("v").cast("double") * F.col("area")) / F.sum("area")).alias("value")), "value")
 
@@ -127,8 +130,7 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledoit_wolf_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    three = _embeddings(spark, sf_dir).where("label = 0").withColumn("v", F.slice("v", 1, 3))
-    got = mahalanobis.shrinkage_terms(three)
+    got = mahalanobis.shrinkage_terms(_embeddings(spark, sf_dir).where("label = 0"))
     return got.select("n", "p", *[F.round(c, 6).alias(c) for c in ("mu", "frobenius", "fourth", "shrinkage")])
 
 
@@ -143,18 +145,18 @@ def case_id_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file", C.strip_channel(F.col("file")).alias("stripped"), C.base_id(F.col("file")).alias("case_id"), C.side_of(C.base_id(F.col("file"))).alias("side"))
 
 
-def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = audit.votes(spark, sf_dir).select("case_id").distinct()
-    done = wanted.where("case_id % 4 = 1")
-    return wanted.join(done, "case_id", "left_anti")
+def unvoted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of any fold without a voxel that all five folds mark (O-95, O-115)."""
+    votes = audit.votes(spark, sf_dir)
+    return votes.select("case_id").distinct().join(voxels.majority_vote(votes, threshold=5).select("case_id"), "case_id", "left_anti")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         eaurc_by_method, aurc_per_site, labelled_sites, complete_methods, missing_scores, failure_scores_wide, bootstrap_ci, paired_tests,
-        majority_vote, risk_dice, mean_pairwise_dice, bilateral_split, slice_selection, atlas_max_dice, area_weighted_embedding, l2_normalize,
-        zscore_l2, feature_filter, feature_corr, ledoit_wolf_shrinkage, md_embeddings, case_id_parse, resume_anti_join,
+        majority_vote, vote_dice, mean_pairwise_dice, bilateral_split, slice_selection, atlas_max_dice, area_weighted_embedding, l2_normalize,
+        zscore_l2, feature_filter, feature_corr, ledoit_wolf_shrinkage, md_embeddings, case_id_parse, unvoted_cases,
     )
 }
 
@@ -246,7 +248,7 @@ ORACLE: dict[str, str] = {
                round(least(1.0, 2.0 * (least(count(*) FILTER (d.p <= 0), count(*) FILTER (d.p >= 0)) + 1) / (count(*) + 1)), 6)::DOUBLE AS pooled_p
         FROM d JOIN q USING (method, reference) GROUP BY d.method, d.reference""",
     "majority_vote": f"WITH {_VOTES} SELECT case_id, voxel, votes FROM mask",
-    "risk_dice": f"""WITH {_VOTES}, a AS (SELECT case_id, count(*) AS na FROM mask GROUP BY ALL), b AS (SELECT case_id, count(*) AS nb FROM truth GROUP BY ALL),
+    "vote_dice": f"""WITH {_VOTES}, a AS (SELECT case_id, count(*) AS na FROM mask GROUP BY ALL), b AS (SELECT case_id, count(*) AS nb FROM truth GROUP BY ALL),
         i AS (SELECT case_id, count(*) AS ni FROM mask JOIN truth USING (case_id, voxel) GROUP BY ALL)
         SELECT case_id, round(2.0::DOUBLE * coalesce(ni, 0) / (na + nb), 6) AS dice FROM a JOIN b USING (case_id) LEFT JOIN i USING (case_id)""",
     "mean_pairwise_dice": f"""WITH {_VOTES}, s AS (SELECT case_id, fold, count(*) AS n FROM votes GROUP BY ALL),
@@ -257,12 +259,12 @@ ORACLE: dict[str, str] = {
         SELECT case_id, CASE WHEN x < 5 THEN 'L' ELSE 'R' END AS side, count(*) AS n, sum(x % 5)::BIGINT AS sum_x,
                sum(CASE WHEN x < 5 THEN x ELSE 4 - x % 5 END)::BIGINT AS sum_flipped FROM v GROUP BY ALL""",
     "slice_selection": f"WITH {_VOTES} SELECT case_id, z, area, selected FROM slices",
-    "atlas_max_dice": f"""WITH {_VOTES}, q AS (SELECT case_id, voxel FROM mask WHERE case_id % 10 <> 0), r AS (SELECT case_id AS ref_id, voxel FROM truth WHERE case_id % 10 = 0),
+    "atlas_max_dice": f"""WITH {_VOTES}, q AS (SELECT case_id, voxel FROM mask), r AS (SELECT case_id AS ref_id, voxel FROM truth),
         qs AS (SELECT case_id, count(*) AS na FROM q GROUP BY ALL), rs AS (SELECT ref_id, count(*) AS nb FROM r GROUP BY ALL),
         i AS (SELECT case_id, ref_id, count(*) AS k FROM q JOIN r USING (voxel) GROUP BY ALL)
         SELECT case_id, round(max(2.0::DOUBLE * coalesce(k, 0) / (na + nb)), 6) AS max_dice FROM qs CROSS JOIN rs LEFT JOIN i USING (case_id, ref_id) GROUP BY case_id""",
     "area_weighted_embedding": f"""WITH {_VOTES}, {_EMB}
-        SELECT case_id, dim::INT AS dim, round(sum(x * area) / sum(area), 6) AS value FROM slices JOIN emb ON vec_id = (case_id * 5 + z) % 500 WHERE selected GROUP BY case_id, dim""",
+        SELECT case_id, dim::INT AS dim, round(sum(x * area) / sum(area), 6) AS value FROM slices JOIN emb ON vec_id = (case_id * 5 + z) % (SELECT count(*) FROM embeddings) WHERE selected GROUP BY case_id, dim""",
     "l2_normalize": f"WITH {_EMB}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS len FROM emb GROUP BY vec_id) SELECT vec_id, dim::INT AS dim, round(CASE WHEN len < 1e-12 THEN x ELSE x / len END, 6) AS value FROM emb JOIN n USING (vec_id)",
     "zscore_l2": f"""WITH {_FEATURES}, m AS (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sd FROM features WHERE case_id % 3 = 0 GROUP BY feature)
         SELECT case_id, round(sqrt(sum(pow((value - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 2))), 6) AS rad_l2 FROM features JOIN m USING (feature) GROUP BY case_id""",
@@ -273,15 +275,17 @@ ORACLE: dict[str, str] = {
         SELECT a.feature AS feature_a, b.feature AS feature_b,
                round(CASE WHEN stddev_pop(a.value) * stddev_pop(b.value) > 0 THEN covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value)) END, 6) AS r
         FROM f a JOIN f b ON a.case_id = b.case_id AND a.feature < b.feature GROUP BY ALL""",
-    "ledoit_wolf_shrinkage": f"""WITH {_EMB}, e AS (SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY dim) AS c FROM emb WHERE label = 0 AND dim < 3),
+    "ledoit_wolf_shrinkage": f"""WITH {_EMB}, e AS (SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY dim) AS c FROM emb WHERE label = 0),
         s AS (SELECT a.dim AS i, b.dim AS j, avg(a.c * b.c) AS s FROM e a JOIN e b USING (vec_id) GROUP BY ALL),
-        q AS (SELECT count(*) AS n, avg(k) / 3 AS mu, avg(k * k) AS fourth FROM (SELECT vec_id, sum(c * c) AS k FROM e GROUP BY vec_id)),
+        q AS (SELECT count(*) AS n, avg(k) / 64 AS mu, avg(k * k) AS fourth FROM (SELECT vec_id, sum(c * c) AS k FROM e GROUP BY vec_id)),
         t AS (SELECT n, mu, fourth, (SELECT sum(s * s) FROM s) AS fro FROM q),
-        u AS (SELECT *, (fro - 3 * mu * mu) / 3 AS d2, (fourth - fro) / (3 * n) AS b2 FROM t)
-        SELECT n, 3 AS p, round(mu, 6) AS mu, round(fro, 6) AS frobenius, round(fourth, 6) AS fourth,
+        u AS (SELECT *, (fro - 64 * mu * mu) / 64 AS d2, (fourth - fro) / (64 * n) AS b2 FROM t)
+        SELECT n, 64 AS p, round(mu, 6) AS mu, round(fro, 6) AS frobenius, round(fourth, 6) AS fourth,
                round(CASE WHEN least(b2, d2) <= 0 THEN 0 ELSE least(b2, d2) / d2 END, 6) AS shrinkage FROM u""",
     "case_id_parse": r"""WITH f AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'S_0000.nii_' || s_suppkey || '_L_0000.nii.gz' ELSE 'S' || s_suppkey || '_R_0000.nii' END AS file FROM supplier),
         g AS (SELECT file, regexp_replace(file, '_0000(\.nii(\.gz)?)$', '\1') AS stripped FROM f), h AS (SELECT *, replace(replace(stripped, '.nii.gz', ''), '.nii', '') AS case_id FROM g)
         SELECT file, stripped, case_id, CASE WHEN regexp_matches(case_id, '_[LR]$') THEN right(case_id, 1) END AS side FROM h""",
-    "resume_anti_join": f"WITH {_VOTES} SELECT DISTINCT case_id FROM votes WHERE case_id % 4 <> 1",
+    "unvoted_cases": f"WITH {_VOTES} SELECT DISTINCT case_id FROM votes WHERE case_id NOT IN (SELECT case_id FROM mask WHERE votes >= 5)",
 }
+QUERIES |= casework.QUERIES
+ORACLE |= casework.ORACLE

@@ -5,11 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.operators import bootstrap, completeness, rank, stats, voxels
-from auditloom.operators.mahalanobis import Scorer
 
 
 def test_equal_confidences_rank_the_later_case_first(spark):
-    risk = [0.1, 0.9, 0.3, 0.5]
+    risk = [0.7, 0.0, 0.2, 0.6]
     cases = spark.createDataFrame([("m", i, r, 1.0) for i, r in enumerate(risk)], "method string, pos long, risk double, conf double")
     got = rank.aurc(cases, ["method"], F.col("conf"), F.col("risk"), [F.col("pos")]).first()
     back = np.array(risk[::-1])
@@ -54,16 +53,33 @@ def test_prune_drops_the_more_correlated_member():
     assert stats.correlation_prune(["a", "b"], {("a", "b"): -0.99}) == ["b"] and stats.correlation_prune(["a"], {}) == ["a"]
 
 
-def test_scorer_closed_form_and_norms():
-    x = np.random.default_rng(1).normal(size=(6, 2))
-    s = Scorer("l2").fit(x)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    d = u - u.mean(0)
-    c = d.T @ d / 6
-    shrunk = (1 - s.shrinkage_) * c + s.shrinkage_ * np.trace(c) / 2 * np.eye(2)
-    assert np.allclose(s.score(x), np.einsum("ij,jk,ik->i", d, np.linalg.inv(shrunk), d)) and len(s.loo_scores(x)) == 6
+def plain_distances(rows, reference, norm):
+    """Squared distances by the definitions, one matrix inverse for each call."""
+    if norm == "l2":
+        rows, reference = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (rows, reference))
+    else:
+        mean, sd = reference.mean(0), reference.std(0)
+        rows, reference = ((m - mean) / np.where(sd < 1e-12, 1, sd) for m in (rows, reference))
+    n, p = reference.shape
+    c = reference - reference.mean(0)
+    s = c.T @ c / n
+    mu = np.trace(s) / p
+    apart = ((s - mu * np.eye(p)) ** 2).sum() / p
+    noise = min(sum(((np.outer(r, r) - s) ** 2).sum() for r in c) / n / n / p, apart)
+    shrunk = s + (mu * np.eye(p) - s) * (noise / apart if noise > 0 else 0)
+    d = rows - reference.mean(0)
+    return np.array([r @ np.linalg.pinv(shrunk) @ r for r in d])
+
+
+def test_distances_of_a_matrix_and_unknown_norms():
+    from auditloom.operators import mahalanobis
+
+    x = np.random.default_rng(1).normal(size=(9, 2))
+    for norm in ("l2", "zscore"):
+        unit = mahalanobis.unit_rows(x) if norm == "l2" else x
+        assert np.allclose(mahalanobis.moments_of(x, norm).score(unit), plain_distances(x, x, norm))
     with pytest.raises(ValueError, match="unknown"):
-        Scorer("max")
+        mahalanobis.moments_of(x, "max")
 
 
 def test_bootstrap_queries_take_all_replicates(spark):
@@ -84,7 +100,35 @@ def test_mahalanobis_downdates_equal_refits(spark):
     frame = spark.createDataFrame(rows, "case_id long, v array<double>, ref boolean")
     for norm in ("l2", "zscore"):
         got = {r.case_id: r.md2 for r in mahalanobis.mahalanobis(frame, F.col("ref"), norm).collect()}
-        want = [*Scorer(norm).loo_scores(x[:40]), *Scorer(norm).fit(x[:40]).score(x[40:])]
+        want = [*(plain_distances(x[i : i + 1], np.delete(x[:40], i, 0), norm)[0] for i in range(40)), *plain_distances(x[40:], x[:40], norm)]
         assert np.allclose([got[i] for i in range(60)], want, rtol=1e-6)
     many = spark.range(20_101).select(F.col("id").alias("case_id"), F.array(F.rand(1), F.rand(2)).alias("v"))
     assert mahalanobis.mahalanobis(many, F.col("case_id") > 0, "l2").where("md2 >= 0").count() == 20_101
+
+
+def test_empty_masks_count_as_folds(spark):
+    votes = spark.createDataFrame([("c", f, v) for f in (1, 2) for v in ((7, 8) if f == 1 else (8,))] + [("d", 2, 1), ("e", 4, 5)], "case_id string, fold int, voxel long")
+    folds = spark.createDataFrame([("c", 1, 1), ("c", 2, 1), ("c", 3, 1), ("d", 1, 1), ("d", 2, 1), ("d", 3, 2), ("e", 4, 1), ("n", 1, 1)], "case_id string, fold int, shape int")
+    got = {r.case_id: (r.mean_dice, r.n_pairs) for r in voxels.mean_pairwise_dice(votes, folds).collect()}
+    assert got["c"][1] == 3 and abs(got["c"][0] - 2 / 9) < 1e-12  # 2/3 between the marked folds, zero with the empty one
+    assert got["n"] == (None, 0)
+    assert voxels.majority_vote(votes, folds, threshold=1).where("case_id = 'd'").count() == 1  # the third has another shape
+    assert {r.case_id for r in voxels.majority_vote(votes, folds).collect()} == {"e"}  # a single file passes through
+    assert {r.case_id: r.votable for r in voxels.vote_cases(folds).collect()} == {"c": True, "d": True, "e": True, "n": True}
+
+
+def test_nan_is_missing(spark):
+    rows = spark.createDataFrame([("a", "f", 1.0), ("b", "f", float("nan")), ("c", "f", 3.0)], "case_id string, feature string, value double")
+    assert sorted(r.value for r in stats.fill_mean(rows).collect()) == [1.0, 2.0, 3.0]
+    assert stats.reference_moments(rows).first().mu == 2.0
+
+
+def test_held_out_folds_and_halves(spark):
+    pred = spark.createDataFrame([("k", f, v) for f in (1, 2) for v in (range(4) if f == 1 else range(2))], "case_id string, fold int, voxel long")
+    truth = spark.createDataFrame([("k", v) for v in range(4)], "case_id string, voxel long")
+    held = spark.createDataFrame([("k", 2)], "case_id string, fold int")
+    assert abs(voxels.site_dice(pred, truth).first().dice - (1 + 2 / 3) / 2) < 1e-12
+    assert abs(voxels.site_dice(pred, truth, held).first().dice - 2 / 3) < 1e-12
+    cut = lambda df: voxels.halves(df.withColumn("x", F.col("voxel")), "x", 4)
+    got = {r.case_id: r.dice for r in voxels.site_dice(cut(pred), cut(truth), held).collect()}
+    assert got == {"k_L": 1.0}  # the right half has no voxel in the held-out fold
