@@ -29,12 +29,12 @@ EXTRA = 3
 WORDS = 4
 
 def _even(text: Column) -> Column:
-    """Lower-cased text with single spaces between the words of a line and none around it; line breaks stay."""
+    """Text with single spaces between the words of a line and none around it; line breaks stay."""
     odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
     for mark in ("  ", "\t", "\x0b", "\x0c", "\r", " \n", "\n "):  # texts without any, mostly, need no pattern
         odd = odd | F.contains(text, F.lit(mark))
-    folded = F.regexp_replace(F.lower(text), r"[ \t\x0B-\r]+", " ")
-    return F.when(odd, F.trim(F.regexp_replace(folded, " ?\n ?", "\n"))).otherwise(F.lower(text))
+    folded = F.regexp_replace(text, r"[ \t\x0B-\r]+", " ")
+    return F.when(odd, F.trim(F.regexp_replace(folded, " ?\n ?", "\n"))).otherwise(text)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def text_lines(texts: DataFrame) -> DataFrame:
-    """``doc_id, key, line_no, line`` of every line that has a word, made even: equal words give equal lines."""
+    """``doc_id, key, line_no, line`` of every line that has a word, lower-cased and made even: equal words give equal lines."""
     lines = texts.select("doc_id", "key", F.posexplode(F.split(_even(F.col("text")), "\n")).alias("line_no", "line"))
-    return lines.where("line <> ''")
+    return lines.where("line <> ''").withColumn("line", F.lower("line"))
 
 
 def _ids() -> dict[str, Column]:
@@ -61,15 +61,12 @@ def with_tokens(lines: DataFrame) -> DataFrame:
     return made.withColumn("tokens", F.sort_array(F.array_distinct("tokens")))
 
 
-def _parities(tokens: Column) -> dict[str, Column]:
-    """256 bits: whether the number of tokens whose hash ends in each of 256 values is odd."""
+def _parities(sets: DataFrame) -> DataFrame:
+    """``id`` and 256 bits as WORDS columns: whether the number of tokens whose hash ends in each of 256 values is odd."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-
-    def word(k: int) -> Column:
-        bit = lambda t: F.when(t.bitwiseAND(F.lit(192)) == 64 * k, F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))).otherwise(none)
-        return F.aggregate(tokens, none, lambda a, t: a.bitwiseXOR(bit(t)))
-
-    return {f"p{k}": word(k) for k in range(WORDS)}
+    bit, word = F.call_function("shiftleft", one, F.col("t").bitwiseAND(F.lit(63)).cast("int")), F.shiftright("t", 6).bitwiseAND(F.lit(WORDS - 1))
+    tokens = sets.select("id", F.explode("tokens").alias("t"))
+    return tokens.groupBy("id").agg(*[F.bit_xor(F.when(word == k, bit).otherwise(none)).alias(f"p{k}") for k in range(WORDS)])
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -99,12 +96,12 @@ def _candidates(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[
     texts = maybe_in(_keyed(docs), F.col("key"), filter_frame(lines.select("key"), count), count)
     own = maybe_in(text_lines(texts).drop("doc_id"), F.xxhash64("key", "line_no"), filter_frame(lines.select(F.col("spot").alias("key")), count), count)
     own = own.join(lines.select("id", "key", F.col("place.line_no").alias("line_no")), ["key", "line_no"]).dropDuplicates(["id"])
-    sets = scratch.keep(with_tokens(own).select("id", "tokens", *[c.alias(k) for k, c in _parities(F.col("tokens")).items()]), "line-sets")
-    ranked = shared.join(lines.select("id", "n", "place", "emits", "shared").join(sets.drop("tokens"), "id"), "id")
+    sets = scratch.keep(with_tokens(own).select("id", "tokens"), "line-sets")
+    ranked = shared.join(lines.select("id", "n", "place", "emits", "shared").join(_parities(sets), "id"), "id")
     pos = F.col("emits") - F.col("shared") + F.row_number().over(Window.partitionBy("id").orderBy("held", "t")) - 1
     ranked = ranked.withColumn("pos", pos.cast("int")).where(F.col("pos") <= F.col("emits") - F.least(F.col("n"), F.lit(EXTRA)))
     whole = F.struct("place", "id", "n", "pos", "emits", *[f"p{k}" for k in range(WORDS)])
-    return scratch.keep(ranked.select("t", whole.alias("mine")), "line-candidates"), sets.select("id", "tokens")
+    return scratch.keep(ranked.select("t", whole.alias("mine")), "line-candidates"), sets
 
 
 def _fits(a: str, b: str) -> Column:

@@ -136,9 +136,9 @@ ORACLE: dict[str, str] = {
         c AS (SELECT k, any_value(words) AS words, min((doc_id, no)) AS place, row_number() OVER (ORDER BY k) AS id FROM k GROUP BY k),
         t AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i : i + 4], ' '))) AS t FROM c WHERE len(words) >= 5),
         n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
-        p AS (SELECT a.id AS a, b.id AS b, count(*) AS both FROM t a JOIN t b ON a.t = b.t AND a.id <> b.id GROUP BY ALL),
+        p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.id <> b.id GROUP BY ALL),
         g AS (SELECT DISTINCT p.b AS id FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b JOIN c e ON e.id = a JOIN c f ON f.id = b
-              WHERE e.place < f.place AND both * 5 >= (x.n + y.n - both) * 4),
+              WHERE e.place < f.place AND p.k * 5 >= (x.n + y.n - p.k) * 4),
         r AS (SELECT k.doc_id, k.no FROM k JOIN c USING (k) WHERE (k.doc_id, k.no) <> c.place OR c.id IN (SELECT id FROM g)),
         s AS (SELECT l.doc_id, count(*) AS n_lines, count(r.no) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (r.no IS NULL), '') AS text
               FROM l LEFT JOIN r USING (doc_id, no) GROUP BY l.doc_id)
