@@ -131,10 +131,10 @@ ORACLE: dict[str, str] = {
     "op6_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL
-        ), w AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM l),
+        ), w AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l),
         k AS (SELECT doc_id, no, array_to_string(words, ' ') AS k, words FROM w WHERE len(words) > 0),
         c AS (SELECT k, any_value(words) AS words, min((doc_id, no)) AS place, row_number() OVER (ORDER BY k) AS id FROM k GROUP BY k),
-        t AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i : i + 4], ' '))) AS t FROM c WHERE len(words) >= 5),
+        t AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) AS t FROM c WHERE len(words) >= 5),
         n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
         p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.id <> b.id GROUP BY ALL),
         g AS (SELECT DISTINCT p.b AS id FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b JOIN c e ON e.id = a JOIN c f ON f.id = b
