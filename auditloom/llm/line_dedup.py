@@ -166,12 +166,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.drop("n_lines", "n_removed")
     scratch = Scratch(docs.sparkSession, "lines")
     slim = base.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    removed = scratch.keep(matched_lines(slim, short_lines, scratch).withColumnRenamed("key", "_of"), "line-removed", last=True)
-    wide = base.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    wide = wide.join(removed.hint("shuffle_hash"), F.col("_key") == F.col("_of"), "left").withColumn("_split", F.split(F.col(text_col), "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("removed"))
-    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("_split"), i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(rest)
+    removed = matched_lines(slim, short_lines, scratch).select(F.col("key").alias("_dedup_of"), F.col("removed").alias("_dedup_gone"))
+    removed = scratch.keep(removed, "line-removed", last=True).hint("shuffle_hash")
+    wide = base.withColumn("_dedup_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    wide = wide.join(removed, F.col("_dedup_key") == F.col("_dedup_of"), "left").withColumn("_dedup_lines", F.split(F.col(text_col), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_dedup_lines") - 1), F.col("_dedup_gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("_dedup_lines"), i)), "\n")
+    text = F.when(F.col("_dedup_gone").isNull(), F.col(text_col)).otherwise(rest)
     columns = [text.alias(c) if c == text_col else F.col(c) for c in base.columns]
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_split"))
-    return wide.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_dedup_lines"))
+    return wide.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("_dedup_gone"), F.lit(0)).cast("bigint").alias("n_removed"))

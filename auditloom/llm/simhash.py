@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 from auditloom.llm.common import LOWER, UPPER, connected_components, durable
 
-#: Fingerprints link at this many differing bits or fewer; the midpoint argument below holds for exactly two.
-MAX_BITS = 2
 #: Sixteen segments of four bits make the grid fine enough that unrelated fingerprints rarely share a cell.
 SEGMENTS, BITS = 16, 4
 

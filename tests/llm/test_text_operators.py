@@ -213,6 +213,20 @@ def test_line_dedup_removes_repeated_short_lines(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1, 2, None}
 
 
+def test_line_dedup_of_odd_rows(spark):
+    long, ten = "w " * 300_000, "one two three four five six seven eight nine ten"
+    rows = [(None, f"{ten}\n{long}", "k"), (None, f"{ten} eleven\nown words of this one", "k"), (3, long, "k"), (3, long, "k"), (4, f"\t{ten.upper()}  \r\n\x0b\n", "k"), (5, "\n".join([ten] * 3), "k")]
+    docs = frame(spark, [(*r, [1], "x", 7) for r in rows], "doc_id long, text string, key string, removed array<int>, _key string, n_lines int")
+    got = line_dedup.dedup_lines(docs, short_lines=True)
+    assert got.columns == ["doc_id", "text", "key", "removed", "_key", "n_lines", "n_removed"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(r.key == "k" and r.removed == [1] and r._key == "x" for r in found)
+    by = {(r.doc_id, r.n_lines): r.text for r in found}
+    assert by[3, 1] == "" and by[4, 3] == "\x0b\n" and by[5, 3] == ""  # nothing of a repeated line stays
+    firsts = [r.text for r in found if r.doc_id is None]
+    assert sorted(len(t.split("\n")) for t in firsts) in ([1, 2], [2, 2])  # the two head lines match; the one that comes later goes
+
+
 def test_toxicity_learns_stems(spark):
     rng, rows, labels = np.random.default_rng(5), [], []
     for i in range(300):
