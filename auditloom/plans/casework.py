@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from auditloom.operators import assembly, evaluate, images, scoring, voxels
 from auditloom.operators.mahalanobis import mahalanobis
 from auditloom.plans import audit
-from auditloom.session import table
-from auditloom.sources import nifti
+from auditloom.session import shared_folder, table
+from auditloom.sources import nifti, tables
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -190,12 +191,45 @@ def resampled_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.resample_nearest(_mask(spark, sf_dir), {"y": 10, "x": 20}, {"y": 2.0, "x": 0.5})
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/casework-{uuid.uuid4().hex}"
+
+
+def cases_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as CSV in an order of their own and read again with their row numbers (O-13, O-20)."""
+    path = f"{_folder(spark)}/cases.csv"
+    rows = audit.cases(spark, sf_dir).select("case_id", "site", "dice")
+    tables.save_csv(rows, path, (F.col("site").desc(), "case_id"))
+    return _round(tables.load_cases(spark, path), "dice")
+
+
+def score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as one CSV for each of two methods and read as one table (O-12, O-20)."""
+    folder = _folder(spark)
+    rows = audit.scores(spark, sf_dir).select("case_id", "site", "method", "score")
+    for method in ("click", "error"):
+        tables.save_csv(rows.where(F.col("method") == method), f"{folder}/{method}.csv")
+    return _round(tables.load_scores(spark, folder), "score")
+
+
+def embedding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written by backbone, mode and site; one backbone's vectors of two sites read again (O-14, O-24)."""
+    path = _folder(spark)
+    bank = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("b"), (F.col("vec_id") % 2).cast("string")).alias("backbone"), F.lit("img").alias("mode"),
+        F.concat(F.lit("S"), (F.col("label") % 3).cast("string")).alias("site"), F.col("vec_id").cast("string").alias("case_id"), "embedding",
+    )
+    tables.save_embeddings(bank, path)
+    got = tables.load_embeddings(spark, path, "b1", ["S0", "S2"])
+    return got.select("backbone", "mode", "site", "case_id", F.size("embedding").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         vote_usable_folds, vote_cases, ens_mpd, site_dice, site_dice_reference, site_dice_halves, fold_membership, site_case_ids, has_labels, site_cases,
         query_atlas, reference_atlas, reference_cases, query_cases, keep_columns, keep_rows, rad_l2_leave_out, md_two_features, method_labels,
-        half_geometry, window_bytes, normalised_volume, overlay_pixels, patch_coverage, resampled_mask,
+        half_geometry, window_bytes, normalised_volume, overlay_pixels, patch_coverage, resampled_mask, cases_file, score_files, embedding_files,
     )
 }
 
@@ -274,4 +308,9 @@ ORACLE: dict[str, str] = {
         SELECT case_id, patch_row::INT AS patch_row, patch_col::INT AS patch_col, round(sum(s), 6) AS cover FROM c WHERE s > 1e-9 GROUP BY ALL""",
     "resampled_mask": f"""WITH {_PIXELS} SELECT case_id, ny::INT AS y, nx::INT AS x FROM m, range(20) AS a(ny), range(10) AS b(nx)
         WHERE floor(ny / 2.0::DOUBLE + 0.5) = y AND floor(nx * 2.0::DOUBLE + 0.5) = x""",
+    "cases_file": f"""WITH {_CASES} SELECT user_id::VARCHAR AS case_id, 'S' || (user_id % 3) AS site, round(dice, 6) AS dice,
+        row_number() OVER (ORDER BY 'S' || (user_id % 3) DESC, user_id::VARCHAR) - 1 AS case_pos FROM cs""",
+    "score_files": """SELECT user_id::VARCHAR AS case_id, 'S' || (user_id % 3) AS site, event_type AS method, round(round(avg(value), 9), 6) AS score
+        FROM events WHERE event_type = 'click' OR event_type = 'error' AND user_id % 11 <> 3 GROUP BY ALL""",
+    "embedding_files": "SELECT 'b1' AS backbone, 'img' AS mode, 'S' || (label % 3) AS site, vec_id::VARCHAR AS case_id, len(embedding)::INT AS n FROM embeddings WHERE vec_id % 2 = 1 AND label % 3 <> 1",
 }

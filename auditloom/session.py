@@ -33,12 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``); a local one only in local mode, where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or f"file://{tempfile.gettempdir()}/auditloom-{os.getpid()}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder all executors share (``spark.checkpoint.dir``); a local one only in local mode, where none is set."""
+    """Reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(path or f"file://{tempfile.gettempdir()}/auditloom-{os.getpid()}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -36,15 +36,19 @@ def discover_folds(spark: SparkSession, pred_root: str) -> list[str]:
 
 
 def load_cases(spark: SparkSession, path: str) -> DataFrame:
-    """``case_id, site, dice, case_pos`` of a case file; positions follow the file's rows (O-13).
+    """``case_id, site, dice, case_pos`` of a case file or a folder of its parts; positions are row numbers, files by name (O-13).
 
-    Rows are numbered within the file's blocks and blocks by where they begin, so that no sort holds the table. Ids stay
-    text, and an empty or NaN Dice is null.
+    Rows are numbered within the blocks of the files, and blocks start from the counts of those before, so that no sort holds the
+    table. Ids stay text, and an empty or NaN Dice is null.
     """
     rows = spark.read.schema(CASES).csv(path, header=True, enforceSchema=False)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
-    within = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_at"))  # a block has fewer rows than bytes
-    return rows.withColumn("case_pos", F.col("_start") + within - 1).select("case_id", "site", missing_to_null(F.col("dice")).alias("dice"), "case_pos")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    sizes = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"))  # one row for each block
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_file", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_at")) - 1
+    rows = rows.withColumn("_within", within).join(sizes, ["_file", "_start"])
+    return rows.select("case_id", "site", missing_to_null(F.col("dice")).alias("dice"), (F.col("_before") + F.col("_within")).alias("case_pos"))
 
 
 def load_scores(spark: SparkSession, folder: str) -> DataFrame:
