@@ -91,8 +91,13 @@ def link_quotations(messages: DataFrame, rounds: int = 40) -> DataFrame:
     quoted = passages.where("level > 0")
     asked = quoted.select("conv_id", "hash").distinct()
     originals = passages.where("level = 0").join(asked, ["conv_id", "hash"], "left_semi")
-    along = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    both = quoted.unionByName(originals).withColumn("source", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(along))
+    # along stretches of turns, so that a passage that fills a conversation is in no single window
+    both = quoted.unionByName(originals).withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    own = F.when(F.col("level") == 0, F.col("turn"))
+    stretches = Window.partitionBy("conv_id", "hash").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = both.groupBy("conv_id", "hash", "stretch").agg(F.max(own).alias("last")).withColumn("before", F.max("last").over(stretches)).where("before is not null").drop("last")
+    along = Window.partitionBy("conv_id", "hash", "stretch").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("here", F.max(own).over(along)).join(before, ["conv_id", "hash", "stretch"], "left").withColumn("source", F.coalesce("here", "before"))
     hits = both.where("level > 0 and source is not null")
     best = hits.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("level"), "whole", "source")).alias("best"))
     links = best.select("conv_id", "turn", F.col("best.source").alias("quoted_turn"))

@@ -39,3 +39,9 @@ def test_long_texts_and_repeated_turns(spark):
     got = link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 4 and [r.parent_turn for r in sorted(got, key=lambda r: r.turn)] == [None, 0, 0, 1]
     assert max(len(r.text) for r in got) == len(long)
+
+
+def test_originals_in_other_stretches_are_found(spark):
+    rows = [(1, t, "u", "same words" if t in (3, 5000) else "> same words\nyes" if t in (4, 4500, 9000, 5001) else f"turn {t}", "") for t in (0, 3, 4, 4500, 5000, 5001, 9000)]
+    got = {r.turn: (r.parent_turn, r.linked) for r in link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[4] == (3, True) and got[4500] == (3, True) and got[5001] == (5000, True) and got[9000] == (5000, True) and got[5000] == (4500, False)
