@@ -56,7 +56,7 @@ def checked(cases: DataFrame, scores: DataFrame, sites: DataFrame, methods: Sequ
     have = {r.method: r.n for r in rows.groupBy("method").agg(F.count("*").alias("n")).collect()}
     missing = {m: total - have.get(m, 0) for m in methods if have.get(m, 0) < total}
     if missing or unknown:
-        raise ValueError(f"incomplete scores on query cases: {missing}, dice missing: {unknown}")
+        raise ValueError(f"cannot evaluate: cases without a score {missing}, cases without a Dice {unknown}")
     sizes = {r.site: r.n for r in sites.select("site").join(own.groupBy("site").agg(F.count("*").alias("n")), "site", "left").fillna(0).collect()}
     if few := {s: n for s, n in sizes.items() if n < completeness.MIN_CASES}:
         raise ValueError(f"sites with fewer than {completeness.MIN_CASES} cases: {few}")
@@ -117,11 +117,11 @@ def report_lines(table: DataFrame, tests: DataFrame, counts: DataFrame) -> list[
         return F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", *[F.coalesce(100 * p, F.lit(float("nan"))) for p in parts])
 
     sizes = counts.collect()
-    lines = [f"E-AURC (x1e-2, lower is better), n={sum(r.n for r in sizes)}, sites: {', '.join(r.site for r in sizes)}", f"{'Method':<17}{'Pooled':>22}{'Within-site':>22}"]
+    lines = [f"Excess AURC in hundredths over {sum(r.n for r in sizes)} cases of {', '.join(r.site for r in sizes)}; less is better", f"{'':<17}{'all sites as one':>22}{'mean of sites':>22}"]
     for r in table.select("label", span("E_AURC_pooled", 1).alias("p"), span("E_AURC_within_mean", 1).alias("w")).collect():
         lines.append(f"{r.label:<17}{r.p:>22}{r.w:>22}")
-    lines.append("Paired tests, Δ = method - ref (x1e-2; negative: method better)")
+    lines.append("Differences of the first method less the second, in hundredths")
     shown = [F.concat(span(n, 2), F.format_string("  p=%.4f", F.coalesce(F.col(f"{n}_pval"), F.lit(float("nan"))))).alias(s) for s, n in (("within", "E_AURC_within_mean"), ("pooled", "E_AURC_pooled"))]
     for r in tests.select("method", "ref", *shown).collect():
-        lines += [f"  {LABELS.get(r.method, r.method)} vs {LABELS.get(r.ref, r.ref)} [{scope}]: Δ={r[scope]}" for scope in ("within", "pooled")]
+        lines += [f"  {LABELS.get(r.method, r.method)} less {LABELS.get(r.ref, r.ref)}, {scope}: {r[scope]}" for scope in ("within", "pooled")]
     return lines

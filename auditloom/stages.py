@@ -56,7 +56,7 @@ def _predictions(spark: SparkSession, bench: Benchmark, site: Site, folds: Seque
 def _held_out(spark: SparkSession, bench: Benchmark, folds: list[str], say: Say) -> DataFrame:
     texts, lacking = nifti.read_fold_files(spark, bench.pred_root, folds, bench.fold_file)
     for fold in lacking:
-        say(f"WARNING {fold}/{bench.fold_file} is missing; its reference cases are left out")
+        say(f"{fold} has no {bench.fold_file}: the reference cases it held out are unknown")
     tasks = spark.createDataFrame(list(bench.tasks.items()), "task string, site string")
     return cut_lineage(nifti.fold_membership(texts, tasks, bench.reference.site))
 
@@ -121,7 +121,7 @@ def extract(spark: SparkSession, bench: Benchmark, say: Say = print) -> None:
     folds = tables.discover_folds(spark, bench.pred_root)
     held_out = _held_out(spark, bench, folds, say)
     if not _labels(spark, bench.reference).limit(1).count():
-        raise FileNotFoundError(f"the reference site {bench.reference.site} needs labels below {bench.reference.images}")
+        raise FileNotFoundError(f"no labels below {bench.reference.images}, which the reference {bench.reference.site} cannot do without")
     if not held_out.limit(1).count():
         raise FileNotFoundError(f"no fold's {bench.fold_file} has a case of {bench.reference.site}")
     for site in bench.queries:
@@ -129,7 +129,7 @@ def extract(spark: SparkSession, bench: Benchmark, say: Say = print) -> None:
         done = _vote_masks(spark, bench, site).select("site", F.col("base_id").alias("case_id"))
         todo = cut_lineage(found.join(done, ["site", "case_id"], "left_anti"))
         written = nifti.write_files(nifti.vote_files(plugins.with_content(todo, {"path": "content"}), done, bench.path("mv_masks"), voxels.VOTES)).count()
-        say(f"[{site.site}] {written} majority-vote masks written")
+        say(f"[{site.site}] voted on {written} cases")
     shapes = [plugins.shape_of_cases(_cases(spark, bench, site, False), site.split_axis or 0) for site in bench.sites]
     feats = shapes[0]
     for part in shapes[1:]:
@@ -142,13 +142,13 @@ def extract(spark: SparkSession, bench: Benchmark, say: Say = print) -> None:
         risks = cut_lineage(risks)
         own = feats.where(F.col("site") == site.site)
         report = assembly.assembly_report(ids, bench.table(spark).where(F.col("site") == site.site), _labels(spark, site), risks, own).first()
-        say(f"[{site.site}] {report.n_cases} cases, Dice {report.n_dice}, shape features {report.n_features}" + (f"; WARNING {report.warning}" if report.warning else ""))
+        say(f"[{site.site}] {report.n_cases} cases, Dice {report.n_dice}, shape features {report.n_features}" + (f"; {report.warning}" if report.warning else ""))
         rows = rows.unionByName(assembly.query_cases(ids, risks, own))
     try:
         cases = cut_lineage(rows.join(bench.table(spark).select("site", "site_pos"), "site").select("case_id", "site", "dice", "site_pos"))
     except Exception as e:
         if "no usable reference case" in str(e):
-            raise ValueError(f"reference site {bench.reference.site}: no case with a label, a held-out fold's prediction and a mask") from e
+            raise ValueError(f"{bench.reference.site}: no reference case has label, held-out prediction and mask") from e
         raise
     order = cases.orderBy("site_pos", "case_id")
     tables.save_csv(order.select("case_id", "site", "dice"), bench.path("cases.csv"))
@@ -171,7 +171,7 @@ def fm(spark: SparkSession, bench: Benchmark, backbones: Sequence[str], say: Say
                 tables.save_embeddings(plugins.embed_cases(_cases(spark, bench, site, True), backbone, site.split_axis or 0), path)
         bank = tables.load_embeddings(spark, path, backbone, names)
         if not bank.where(F.col("site") == bench.reference.site).limit(1).count():
-            raise ValueError(f"{backbone}: no reference case of {bench.reference.site} could be embedded")
+            raise ValueError(f"{backbone} gave no vector for the reference {bench.reference.site}")
         tables.save_csv(scoring.embedding_scores(bank, bench.reference.site), bench.path("scores", f"fm_{backbone}.csv"))
         say(f"{backbone}: scores written")
 
@@ -183,7 +183,7 @@ def baselines(spark: SparkSession, bench: Benchmark, registrar: str | None = Non
     have = {r.site for r in cases.select("site").distinct().collect()}
     for site in bench.queries:
         if site.site not in have:
-            say(f"WARNING [{site.site}] no cases; site skipped")
+            say(f"[{site.site}] has no cases")
     sites = [s for s in bench.queries if s.site in have]
     parts = []
     for site in sites:
@@ -239,20 +239,20 @@ def evaluation(spark: SparkSession, folder: str, sites: DataFrame, out: str, wid
     scores = cut_lineage(tables.load_scores(spark, f"{folder}/scores"))
     if not scores.where(F.col("method").isin(list(evaluate.LABELS))).limit(1).count():
         if strict:
-            raise SystemExit(f"no failure scores in {folder}/scores")
-        raise FileNotFoundError(f"no failure scores in {folder}/scores; run the extract stage first")
+            raise SystemExit(f"{folder}/scores holds no known method")
+        raise FileNotFoundError(f"{folder}/scores holds no known method: the stage extract comes first")
     cases = cut_lineage(tables.load_cases(spark, f"{folder}/cases.csv"))
     if wide:
         tables.save_csv(evaluate.scores_table(cases, scores, sites).drop("case_pos", "site_pos"), f"{folder}/failure_scores.csv")
     kept, methods, skipped, dropped = evaluate.usable(cases, scores, sites)
     for r in skipped.orderBy("site_pos").collect():
-        say(f"not evaluated ({r.reason}): {r.site}" + (f" ({r.n_labelled})" if r.n_labelled else ""))
+        say(f"site {r.site} is left out: {r.reason}" + (f", {r.n_labelled}" if r.n_labelled else ""))
     if not kept.limit(1).count():
-        return stop("no labelled query site to evaluate")
+        return stop("no query site has enough labelled cases")
     for r in dropped.orderBy("method_pos").collect():
-        say(f"WARNING {r.method} not evaluated: no score for {r.n_missing} evaluated case(s)")
+        say(f"{r.method} is left out: {r.n_missing} labelled cases lack its score")
     if not methods:
-        return stop("no method scores every evaluated case")
+        return stop("every method lacks the score of some labelled case")
     own = cases.where("dice is not null")
     table, tests, counts = evaluate.evaluate(own, scores, kept, methods, replicates=replicates)
     table, tests = cut_lineage(table), cut_lineage(tests)
