@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.columns import safe_div
+from auditloom.session import cut_lineage
 
 VOTES = 3
 MIN_AREA = 10
+#: Masks, and words of 64 voxels, that a block of masks holds at most on average; words of a mask that a product of matrices takes at once.
+BLOCK_MASKS, BLOCK_WORDS, WORDS = 2048, 1 << 20, 16
 
 
 def usable_folds(folds: DataFrame) -> DataFrame:
@@ -146,23 +151,75 @@ def slice_areas(mask: DataFrame, least: int = MIN_AREA) -> DataFrame:
     return areas.join(most, "case_id").withColumn("selected", F.col("area") >= F.when(F.col("_most") >= least, least).otherwise(1)).drop("_most")
 
 
+def _bitmaps(voxels: DataFrame, key: str) -> DataFrame:
+    """One row per mask: its rows ``n``, its words of 64 voxels ``at`` in order with their bits ``set``, and ``k1, k2``, 128 bits that equal masks share."""
+    voxel = F.col("voxel").cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), voxel.bitwiseAND(F.lit(63)).cast("int"))
+    words = voxels.groupBy(key, F.shiftright(voxel, 6).alias("at")).agg(F.bit_or(bit).alias("set"), F.count("*").alias("rows"))
+    word = F.when(F.col("at").isNotNull(), F.struct("at", "set"))
+    masks = words.groupBy(key).agg(F.sum("rows").alias("n"), F.sort_array(F.collect_list(word)).alias("words"))
+    masks = masks.select(key, "n", F.col("words.at").alias("at"), F.col("words.set").alias("set"))
+    return masks.withColumns({"k1": F.xxhash64("n", "at", "set"), "k2": F.xxhash64(F.lit(1), "n", "at", "set")})
+
+
+def _dealt(masks: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """One of each class of equal masks, dealt into blocks of about BLOCK_MASKS masks and BLOCK_WORDS words, and the number of blocks."""
+    kinds = cut_lineage(masks.groupBy("k1", "k2").agg(F.first(F.struct("n", "at", "set")).alias("m")).select("k1", "k2", "m.*"))
+    size = kinds.agg(F.count("*").alias("masks"), F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("words")).first()
+    blocks = max(1, -(-size.masks // BLOCK_MASKS), -(-size.words // BLOCK_WORDS))
+    return kinds.withColumn(name, F.pmod("k1", F.lit(blocks)).cast("int")), blocks
+
+
+def _shared(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Number of voxels that each mask of ``a`` shares with each of ``b``: products of 0/1 matrices over WORDS words at a time, of the masks that touch these."""
+    sides = []
+    for side in (a, b):
+        sizes = side["at"].map(len).to_numpy()
+        at, bits = (np.concatenate([*side[c], np.zeros(0, np.int64)]).astype(np.int64) for c in ("at", "set"))
+        sides.append((np.repeat(np.arange(len(side)), sizes), at, bits))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    for k, (mask, at, bits) in enumerate(sides):
+        kept = np.isin(at, common)
+        place = np.searchsorted(common, at[kept])
+        order = np.argsort(place, kind="stable")
+        sides[k] = mask[kept][order], place[order], bits[kept][order]
+    exact = np.float32 if min(a["n"].max(), b["n"].max()) < 1 << 24 else np.float64
+    out = np.zeros((len(a), len(b)), exact)
+    for first in range(0, len(common), WORDS):
+        rows, dense = [], []
+        for mask, place, bits in sides:
+            part = slice(*np.searchsorted(place, (first, first + WORDS)))
+            touching, row = np.unique(mask[part], return_inverse=True)
+            words = np.zeros((len(touching), min(WORDS, len(common) - first)), np.int64)
+            words[row, place[part] - first] = bits[part]
+            rows.append(touching)
+            dense.append(np.unpackbits(words.view(np.uint8), axis=1).astype(exact))
+        if len(rows[0]) == len(a) and len(rows[1]) == len(b):
+            out += dense[0] @ dense[1].T
+        else:
+            out[np.ix_(*rows)] += dense[0] @ dense[1].T
+    return out
+
+
+def _best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """The best Dice of each mask of ``a`` with any of ``b``."""
+    if a.empty or b.empty:
+        return a[["k1", "k2"]].head(0).assign(best=0.0)
+    n_a, n_b, shared = a["n"].to_numpy(np.float64), b["n"].to_numpy(np.float64), _shared(a, b)
+    best = [(2 * shared[i].astype(np.float64) / (n_a[i] + n_b)).max() for i in range(len(a))]
+    return pd.DataFrame({"k1": a["k1"], "k2": a["k2"], "best": best})
+
+
 def atlas_max_dice(queries: DataFrame, references: DataFrame) -> DataFrame:
     """Best overlap of each query with any reference mask and the score, its negative (O-56, O-97).
 
-    ``voxel`` is a number. Masks meet in words of 64 voxels, so a pair costs a row for each word that both touch; a pair that shares
-    none has Dice zero and is never formed.
+    ``voxel`` is a whole number. Equal masks are compared once. Of the rest each block of queries meets each block of references, and
+    a task counts the shared voxels of all their pairs at once (``_shared``); only a query's best Dice in a block leaves the task.
     """
-    q_sizes = queries.groupBy("case_id").agg(F.count("*").alias("n_a"))
-    r_sizes = references.groupBy("ref_id").agg(F.count("*").alias("n_b"))
-
-    def packed(voxels: DataFrame, key: str, name: str) -> DataFrame:
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("voxel"), F.lit(64)).cast("int"))
-        return voxels.groupBy(key, F.floor(F.col("voxel") / 64).alias("_word")).agg(F.bit_or(bit).alias(name))
-
-    met = packed(queries, "case_id", "_q").join(packed(references, "ref_id", "_r"), "_word")
-    met = met.groupBy("case_id", "ref_id").agg(F.sum(F.bit_count(F.col("_q").bitwiseAND(F.col("_r")))).alias("n_both"))
-    dice = strict_dice(F.col("n_a"), F.col("n_b"), F.col("n_both"))
-    best = met.join(r_sizes, "ref_id").join(q_sizes, "case_id").groupBy("case_id").agg(F.max(dice).alias("best"))
-    some = r_sizes.agg(F.count("*").alias("_refs")).where("_refs > 0")
-    out = q_sizes.join(best, "case_id", "left").join(F.broadcast(some)).withColumn("best", F.coalesce("best", F.lit(0.0)))
-    return out.select("case_id", F.col("best").alias("max_dice"), (-F.col("best")).alias("score"))
+    q = cut_lineage(_bitmaps(queries, "case_id"))
+    q_kinds, q_blocks = _dealt(q, "_q")
+    r_kinds, r_blocks = _dealt(_bitmaps(references, "ref_id"), "_r")
+    every = lambda kinds, name, blocks: kinds.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("_q", "_r")
+    met = every(q_kinds, "_r", r_blocks).cogroup(every(r_kinds, "_q", q_blocks))
+    best = met.applyInPandas(_best, "k1 bigint, k2 bigint, best double").groupBy("k1", "k2").agg(F.max("best").alias("best"))
+    return q.select("case_id", "k1", "k2").join(best, ["k1", "k2"]).select("case_id", F.col("best").alias("max_dice"), (-F.col("best")).alias("score"))

@@ -1,5 +1,7 @@
 """The audit operators on literals: ties, missing scores, Dice conventions, pruning, p-values."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,24 @@ def test_held_out_folds_and_halves(spark):
     cut = lambda df: voxels.halves(df.withColumn("x", F.col("voxel")), "x", 4)
     got = {r.case_id: r.dice for r in voxels.site_dice(cut(pred), cut(truth), held).collect()}
     assert got == {"k_L": 1.0}  # the right half has no voxel in the held-out fold
+
+
+def test_atlas_in_blocks_equals_pairs(spark, monkeypatch):
+    monkeypatch.setattr(voxels, "BLOCK_MASKS", 4, raising=False)
+    rng = np.random.default_rng(5)
+    masks = [{int(v) for v in rng.choice(4000, rng.integers(1, 900)) - 100} for _ in range(24)]
+    masks[3], masks[17], masks[5] = masks[1], masks[1], {10**6}  # equal masks, one that meets none
+    queries, references = masks[:13], masks[11:]
+    table = lambda side, key: spark.createDataFrame([(i, v) for i, m in enumerate(side) for v in m], f"{key} int, voxel long")
+    got = {r.case_id: (r.max_dice, r.score) for r in voxels.atlas_max_dice(table(queries, "case_id"), table(references, "ref_id")).collect()}
+    best = [max(2 * len(q & r) / (len(q) + len(r)) for r in references) for q in queries]
+    assert got == {i: (b, -b) for i, b in enumerate(best)} and best[5] == 0
+    assert voxels.atlas_max_dice(table(queries, "case_id"), table([], "ref_id")).count() == 0
+
+
+def test_atlas_does_not_lay_out_pairs(spark):
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda w: w * 64 + F.pmod(F.xxhash64("case_id", w), F.lit(64))))
+    masks = spark.range(6000).withColumnRenamed("id", "case_id").withColumn("voxel", at)
+    began, found = time.time(), voxels.atlas_max_dice(masks, masks.withColumnRenamed("case_id", "ref_id"))
+    assert found.where("max_dice = 1").count() == 6000
+    assert time.time() - began < 25  # 36,000,000 pairs share 16 words each
