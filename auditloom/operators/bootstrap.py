@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,13 @@ from auditloom.functions.columns import missing_to_null
 from auditloom.operators.rank import eaurc_by_method
 
 REPLICATES, SEED, MIN_FINITE = 2000, 42, 100
-#: Score rows (cases times methods) up to which a task takes whole replicates; 40 bytes each, sent to every task.
-DENSE_ROWS = 1 << 18
+#: Score rows (cases times methods) up to which a task takes whole replicates; 4 bytes each and 10 for each case, sent to every task.
+DENSE_ROWS = 1 << 22
+#: Hashes of numbers of equal length made at once, and the least for which that is faster than one by one.
+HASHES, FEW_HASHES = 1 << 14, 1 << 11
+_SHIFTS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
 def draws(cases: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
@@ -60,53 +66,105 @@ def replicate_table(scored: DataFrame, replicates: int = REPLICATES, seed: int =
     return eaurc_by_method(drawn, ["rep"], [F.col("draw_pos")])
 
 
-def _area(order: np.ndarray, risk: np.ndarray) -> float:
-    """Mean over k of the mean risk of the first k in ``order``."""
-    return float((np.cumsum(risk[order]) / np.arange(1, len(risk) + 1)).mean())
-
-
-def _ranked(key: np.ndarray) -> np.ndarray:
-    """Positions by ascending key; of equal ones the later comes first."""
-    return len(key) - 1 - np.argsort(key[::-1], kind="stable")
+def _md5(blocks: list[list[np.ndarray]]) -> np.ndarray:
+    """First four bytes of the MD5 of each message, as a big-endian number; a block is 16 little-endian words, those equal in all messages of length one."""
+    state = [np.array([x], np.uint32) for x in _START]
+    for block in blocks:
+        a, b, c, d = state
+        for i in range(64):
+            if i < 16:
+                mix, k = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                mix, k = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                mix, k = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                mix, k = c ^ (b | ~d), 7 * i % 16
+            mix = mix + (a + (block[k] + np.uint32(_SINES[i])))
+            by = _SHIFTS[i // 16][i % 4]
+            a, b, c, d = d, b + ((mix << np.uint32(by)) | (mix >> np.uint32(32 - by))), b, c
+        state = [x + y for x, y in zip(state, (a, b, c, d), strict=True)]
+    return state[0].byteswap()
+
+
+def hash_draws(prefix: str, n: int) -> np.ndarray:
+    """For each of 0 to n - 1, written after ``prefix``, the first 32 bits of the text's MD5 modulo n: what ``draws`` takes."""
+    head, out = prefix.encode(), np.empty(n, np.int64)
+    for digits in range(1, len(str(n)) + 1):
+        low, high = 10 ** (digits - 1) if digits > 1 else 0, min(n, 10**digits)
+        if high - low < FEW_HASHES:
+            out[low:high] = [int.from_bytes(hashlib.md5(head + b"%d" % d).digest()[:4], "big") for d in range(low, high)]
+            continue
+        length = len(head) + digits
+        text = head + b"0" * digits + b"\x80" + b"\0" * ((55 - length) % 64) + (8 * length).to_bytes(8, "little")
+        fixed = np.frombuffer(text, "<u4").astype(np.uint32)
+        for first in range(low, high, HASHES):
+            number = np.arange(first, min(high, first + HASHES), dtype=np.uint32)
+            words = [fixed[k : k + 1] for k in range(len(fixed))]
+            for at in range(length - 1, length - 1 - digits, -1):
+                number, digit = np.divmod(number, np.uint32(10))
+                words[at // 4] = words[at // 4] + (digit << np.uint32(8 * (at % 4)))
+            out[first : first + len(number)] = _md5([words[k : k + 16] for k in range(0, len(words), 16)])
+    return out % max(n, 1)
+
+
+def _area(risk: np.ndarray) -> float:
+    """Mean over k of the mean of the first k risks."""
+    return float((np.cumsum(risk) / np.arange(1, len(risk) + 1)).mean())
+
+
+def _areas(risk: np.ndarray, site: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, float]:
+    """``_area`` of each site and of all, of risks in order; ``ends`` of the sites' rows once these are put together."""
+    own = risk[np.argsort(site, kind="stable")]
+    return np.array([_area(part) for part in np.split(own, ends)]), _area(risk)
 
 
 def _dense_replicates(rows: DataFrame, replicates: int, seed: int, published: bool) -> DataFrame:
+    """Cases lie site after site in arrays: their risks, sites and, for each method, the rank of their score, equal for equal scores.
+
+    A replicate's draws are put in order of these ranks, the later first of equal ones; that is the order of its sites as well.
+    """
     spark = rows.sparkSession
-    table = rows.toPandas()  # at most DENSE_ROWS rows, as the caller has counted
-    sites = list(table[["site_pos", "site"]].drop_duplicates().sort_values("site_pos")["site"])
-    methods, risk, score = sorted(table["method"].unique()), {}, {}
-    for site in sites:
-        own = table[table["site"] == site].sort_values(["case_pos", "case_id"])
-        cases = own.drop_duplicates("case_id")
-        risk[site] = 1 - cases["dice"].to_numpy(np.float64)
-        score[site] = {m: own[own["method"] == m]["score"].to_numpy(np.float64) for m in methods}
-    shared = spark.sparkContext.broadcast((risk, score))
-
-    def draw(rep: int, site: str, n: int) -> np.ndarray:
-        return np.array([int(hashlib.md5(f"{seed}|{site}|{rep}|{d}".encode()).hexdigest()[:8], 16) % n for d in range(n)])
-
-    def one(rep: int, drawn: dict[str, np.ndarray]) -> list[tuple]:
-        risk, score = shared.value
-        r = {s: risk[s][drawn[s]] for s in sites}
-        pool = np.concatenate([r[s] for s in sites]) if sites else np.zeros(0)
-        best, best_pool, out = {s: _area(_ranked(r[s]), r[s]) for s in sites}, _area(_ranked(pool), pool), []
-        for m in methods:
-            x = {s: score[s][m][drawn[s]] for s in sites}
-            within = np.mean([_area(_ranked(x[s]), r[s]) - best[s] for s in sites])
-            out.append((rep, m, float(within), _area(_ranked(np.concatenate([x[s] for s in sites])), pool) - best_pool))
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("method", "score"))), lambda x: x["score"])
+    methods = sorted(r.method for r in rows.select("method").distinct().collect())
+    table = rows.groupBy("site_pos", "site", "case_pos", "case_id", "dice").agg(scores.alias("scores")).toPandas()  # at most DENSE_ROWS rows, as the caller has counted
+    table = table.sort_values(["site_pos", "site", "case_pos", "case_id"], ignore_index=True)
+    sites = list(table[["site_pos", "site"]].drop_duplicates()["site"])
+    where = table["site"].map({s: i for i, s in enumerate(sites)}).to_numpy(np.uint16 if len(sites) <= 1 << 16 else np.int64)
+    sizes = [int(n) for n in np.bincount(where, minlength=len(sites))]
+    score = np.array(table["scores"].tolist(), np.float64).reshape(len(table), len(methods))
+    ranks = [np.unique(score[:, m], return_inverse=True)[1].astype(np.int32) for m in range(len(methods))]
+    shared = spark.sparkContext.broadcast((1 - table["dice"].to_numpy(np.float64), where, ranks))
+
+    def one(rep: int, drawn: list[np.ndarray]) -> list[tuple]:
+        risk, where, ranks = shared.value
+        if not ranks:
+            return []
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        case = np.concatenate([i + first for i, first in zip(drawn, starts, strict=False)])[::-1]  # the later first
+        r, site, ends, place = risk[case], where[case], starts[1:-1], np.arange(len(case))
+        best, best_pool = np.array([_area(np.sort(part)) for part in np.split(risk[case[::-1]], ends)]), _area(np.sort(r))
+        out = []
+        for method, rank in zip(methods, ranks, strict=True):
+            order = np.sort((rank[case].astype(np.int64) << 32) | place) & 0xFFFFFFFF  # distinct keys: places settle equal ranks
+            within, pool = _areas(r[order], site[order], ends)
+            out.append((rep, method, float(np.mean(within - best)), pool - best_pool))
         return out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            sizes = {s: len(shared.value[0][s]) for s in sites}
             found = []
             for row in part.itertuples():
-                stream = {s: np.asarray(i, np.int64) for s, i in zip(row.sites, row.i, strict=True)} if published else {s: draw(row.rep, s, n) for s, n in sizes.items()}
-                found += one(row.rep, stream)
+                if published:
+                    stream = dict(zip(row.sites, row.i, strict=True))
+                    drawn = [np.asarray(stream[s], np.int64) for s in sites]
+                else:
+                    drawn = [hash_draws(f"{seed}|{s}|{row.rep}|", n) for s, n in zip(sites, sizes, strict=True)]
+                found += one(row.rep, drawn)
             yield pd.DataFrame(found, columns=["rep", "method", "eaurc_within", "eaurc_pooled"], dtype=object)
 
     if published:
-        drawn = numpy_draws(spark, [(s, len(risk[s])) for s in sites], replicates, seed)
+        drawn = numpy_draws(spark, list(zip(sites, sizes, strict=True)), replicates, seed)
         reps = drawn.groupBy("rep", "site").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw_pos", "i"))), lambda x: x["i"]).alias("i"))
         reps = reps.groupBy("rep").agg(F.collect_list("site").alias("sites"), F.collect_list("i").alias("i"))
     else:

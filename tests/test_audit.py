@@ -1,5 +1,6 @@
 """The audit operators on literals: ties, missing scores, Dice conventions, pruning, p-values."""
 
+import hashlib
 import time
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.operators import bootstrap, completeness, rank, stats, voxels
+from auditloom.session import cut_lineage
 
 
 def test_equal_confidences_rank_the_later_case_first(spark):
@@ -155,3 +157,22 @@ def test_atlas_does_not_lay_out_pairs(spark):
     began, found = time.time(), voxels.atlas_max_dice(masks, masks.withColumnRenamed("case_id", "ref_id"))
     assert found.where("max_dice = 1").count() == 6000
     assert time.time() - began < 25  # 36,000,000 pairs share 16 words each
+
+
+def test_hashed_draws_are_those_of_the_text():
+    for prefix, n in (("42|S|7|", 30_011), ("42|" + "é" * 25 + "|0|", 12_000), ("7|" + "x" * 140 + "|19|", 4_100), ("42||1|", 1)):
+        plain = [int(hashlib.md5(f"{prefix}{d}".encode()).hexdigest()[:8], 16) % n for d in range(n)]
+        assert bootstrap.hash_draws(prefix, n).tolist() == plain
+
+
+def test_bootstrap_of_many_cases(spark):
+    """More score rows than the old limit of 2^18, with many equal scores."""
+    place = {"case_id": F.col("case_pos").cast("string"), "site": F.concat(F.lit("S"), F.col("case_pos") % 3), "site_pos": (F.col("case_pos") % 3).cast("int")}
+    cases = spark.range(70_000).withColumnRenamed("id", "case_pos").withColumns(place).withColumn("dice", F.pmod(F.xxhash64("case_pos"), F.lit(1009)) / 1009)
+    rows = cases.withColumn("method", F.explode(F.array(*[F.lit(m) for m in "abcd"]))).withColumn("score", F.pmod(F.xxhash64("case_pos", "method"), F.lit(97)) / 97)
+    scored = cut_lineage(rows)
+    began = time.time()
+    got = {(r.rep, r.method): (r.eaurc_within, r.eaurc_pooled) for r in bootstrap.replicate_table(scored, 60).collect()}
+    assert len(got) == 240 and time.time() - began < 30
+    few = bootstrap.replicate_table(scored, 1, dense_rows=0).collect()
+    assert len(few) == 4 and all(np.allclose(got[0, r.method], (r.eaurc_within, r.eaurc_pooled), rtol=0, atol=1e-12) for r in few)
