@@ -176,3 +176,17 @@ def test_bootstrap_of_many_cases(spark):
     assert len(got) == 240 and time.time() - began < 30
     few = bootstrap.replicate_table(scored, 1, dense_rows=0).collect()
     assert len(few) == 4 and all(np.allclose(got[0, r.method], (r.eaurc_within, r.eaurc_pooled), rtol=0, atol=1e-12) for r in few)
+
+
+def test_paired_tests_of_many_cases(spark):
+    place = {"case_id": F.col("case_pos").cast("string"), "site": F.lit("S"), "site_pos": F.lit(0)}
+    cases = spark.range(140_000).withColumnRenamed("id", "case_pos").withColumns(place).withColumn("dice", F.pmod(F.xxhash64("case_pos"), F.lit(1009)) / 1009)
+    noise = F.pmod(F.xxhash64("case_pos", "method"), F.lit(97)) / 97
+    rows = cases.withColumn("method", F.explode(F.array(F.lit("good"), F.lit("none")))).withColumn("score", F.when(F.col("method") == "good", noise - F.col("dice")).otherwise(noise))
+    scored = cut_lineage(rows)
+    pairs = spark.createDataFrame([("good", "none")], "method string, reference string")
+    began = time.time()
+    got = bootstrap.paired_tests(cut_lineage(bootstrap.replicate_table(scored, 120)), cut_lineage(rank.eaurc_by_method(scored)), pairs).collect()
+    assert time.time() - began < 40
+    assert len(got) == 1 and got[0].n_boot == 120 and got[0].pooled_p == got[0].within_p == 2 / 121
+    assert got[0].within_low <= got[0].within_diff <= got[0].within_high < 0 and abs(got[0].within_diff - got[0].pooled_diff) < 1e-12
