@@ -28,22 +28,33 @@ EXTRA = 3
 #: Words of 64 parity bits.
 WORDS = 4
 
-def _even(text: Column) -> Column:
-    """Text with single spaces between the words of a line and none around it; line breaks stay."""
+def _odd(text: Column) -> Column:
+    """Whether the text has other white space than line breaks and single spaces within lines."""
     odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
-    for mark in ("  ", "\t", "\x0b", "\x0c", "\r", " \n", "\n "):  # texts without any, mostly, need no pattern
+    for mark in ("  ", "\t", "\x0b", "\x0c", "\r", " \n", "\n "):
         odd = odd | F.contains(text, F.lit(mark))
+    return odd
+
+
+def _evened(text: Column) -> Column:
+    """Text with single spaces between the words of a line and none around it; line breaks stay."""
     folded = F.regexp_replace(text, r"[ \t\x0B-\r]+", " ")
-    return F.when(odd, F.trim(F.regexp_replace(folded, " ?\n ?", "\n"))).otherwise(text)
+    return F.trim(F.regexp_replace(folded, " ?\n ?", "\n"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def text_lines(texts: DataFrame) -> DataFrame:
-    """``doc_id, key, line_no, line`` of every line that has a word, lower-cased and made even: equal words give equal lines."""
-    lines = texts.select("doc_id", "key", F.posexplode(F.split(_even(F.col("text")), "\n")).alias("line_no", "line"))
+def text_lines(texts: DataFrame, even: bool = False) -> DataFrame:
+    """``doc_id, key, odd, line_no, line`` of every line that has a word, lower-cased and made even: equal words give equal lines.
+
+    ``odd`` tells whether its text had to be made even, which texts without odd white space, mostly, need no pattern for. ``even`` says
+    that no text has to be; then none is looked through.
+    """
+    texts = texts.withColumn("odd", F.lit(False) if even else _odd(F.col("text")))
+    text = F.col("text") if even else F.when(F.col("odd"), _evened(F.col("text"))).otherwise(F.col("text"))
+    lines = texts.select("doc_id", "key", "odd", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return lines.where("line <> ''").withColumn("line", F.lower("line"))
 
 
@@ -70,16 +81,16 @@ def _parities(sets: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """One row for each class of equal lines: ``id, more`` (128 bits), its number ``n`` of tokens, those emitted, its first place and how many lines it has."""
+    """One row for each class of equal lines: ``id, more`` (128 bits), its number ``n`` of tokens, those emitted, its first place, how many lines it has and whether any text of these was odd."""
     made = with_tokens(text_lines(_keyed(docs)).withColumns(_ids()))
     n = F.size("tokens")
     emitted = F.slice("tokens", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + F.least(n, F.lit(EXTRA)))
-    made = made.select("id", "more", n.alias("n"), emitted.alias("emitted"), F.struct("doc_id", "key", "line_no").alias("place"))
+    made = made.select("id", "more", n.alias("n"), emitted.alias("emitted"), F.struct("doc_id", "key", "line_no").alias("place"), "odd")
     # all that depends on the words is a key, so that nothing but the place is aggregated
-    return made.groupBy("id", "more", "n", "emitted").agg(F.min("place").alias("place"), F.count("*").alias("lines"))
+    return made.groupBy("id", "more", "n", "emitted").agg(F.min("place").alias("place"), F.count("*").alias("lines"), F.max("odd").alias("odd"))
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _candidates(docs: DataFrame, classes: DataFrame, even: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Tokens that lines may meet at, ``t, mine``, and the token sets of these lines, ``id, tokens``.
 
     ``mine.pos`` is the token's place in the line's order of rarity, in which tokens of a single class come first; these
@@ -94,7 +105,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[
     lines = scratch.keep(lines.withColumns({"key": F.col("place.key"), "spot": F.xxhash64("place.key", "place.line_no")}), "line-places")
     count = lines.count()
     texts = maybe_in(_keyed(docs), F.col("key"), filter_frame(lines.select("key"), count), count)
-    own = maybe_in(text_lines(texts).drop("doc_id"), F.xxhash64("key", "line_no"), filter_frame(lines.select(F.col("spot").alias("key")), count), count)
+    own = maybe_in(text_lines(texts, even).drop("doc_id", "odd"), F.xxhash64("key", "line_no"), filter_frame(lines.select(F.col("spot").alias("key")), count), count)
     own = own.join(lines.select("id", "key", F.col("place.line_no").alias("line_no")), ["key", "line_no"]).dropDuplicates(["id"])
     sets = scratch.keep(with_tokens(own).select("id", "tokens"), "line-sets")
     ranked = shared.join(lines.select("id", "n", "place", "emits", "shared").join(_parities(sets), "id"), "id")
@@ -130,7 +141,8 @@ def matched_lines(docs: DataFrame, short_lines: bool, scratch: Scratch) -> DataF
     line has the same words or, by tokens, a Jaccard similarity of NUM / DEN or more, whether that line is removed or not.
     """
     classes = scratch.keep(_classes(docs), "line-classes")
-    met, sets = _candidates(docs, classes, scratch)
+    even = not classes.agg(F.max("odd")).first()[0]  # the first pass has looked through every text that has lines
+    met, sets = _candidates(docs, classes, even, scratch)
     earliest, picked = F.min("mine"), F.min(F.struct(F.xxhash64("t", "mine.id").alias("by"), F.col("mine").alias("hub")))
     hubs = met.groupBy("t").agg(F.array(earliest, picked["hub"]).alias("hubs")).select("t", F.explode("hubs").alias("hub"))
     star = met.join(hubs, "t").where((F.col("hub.place") < F.col("mine.place")) & _fits("hub", "mine"))
@@ -147,7 +159,7 @@ def matched_lines(docs: DataFrame, short_lines: bool, scratch: Scratch) -> DataF
     whose = whose.select("id", "more", "place", "gone")
     whose = scratch.keep(whose, "line-whose")
     count = whose.count()
-    lines = maybe_in(text_lines(_keyed(docs)).withColumn("id", F.xxhash64("line")), F.col("id"), filter_frame(whose.select(F.col("id").alias("key")), count), count)
+    lines = maybe_in(text_lines(_keyed(docs), even).withColumn("id", F.xxhash64("line")), F.col("id"), filter_frame(whose.select(F.col("id").alias("key")), count), count)
     lines = lines.select("id", _ids()["more"].alias("more"), F.struct("doc_id", "key", "line_no").alias("here"))
     found = lines.join(whose.hint("shuffle_hash"), ["id", "more"]).where((F.col("here") != F.col("place")) | F.col("gone"))
     return found.groupBy("here.key").agg(F.collect_set("here.line_no").alias("removed"))

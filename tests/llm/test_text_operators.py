@@ -262,3 +262,17 @@ def test_toxicity_reads_long_runs_and_single_windows_whole():
 def test_encoder_equals_tokenizer(text):
     encode = packing.encoder(packing.default_tokenizer())
     assert encode(text) == np.array(encode.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_line_dedup_looks_for_odd_white_space_once(spark, monkeypatch):
+    looked, odd = [], line_dedup._odd
+    monkeypatch.setattr(line_dedup, "_odd", lambda text: looked.append(1) or odd(text), raising=False)
+    long = "one two three four five six seven"
+    plain = [(1, f"{long}\nalpha"), (2, f"beta\n{long}"), (3, None), (4, "")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, plain, "doc_id long, text string")).collect()}
+    assert got == {1: (plain[0][1], 0), 2: ("beta", 1), 3: (None, 0), 4: ("", 0)} and len(looked) == 1
+    for gap in ("  ", "\t\x0b"):  # a single odd text, whichever it is, is found again in every pass
+        for at in (0, 1):
+            rows = [(i, t.replace("four ", "four" + gap) if i == at + 1 else t) for i, t in plain]
+            got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows, "doc_id long, text string")).collect()}
+            assert got == {1: (rows[0][1], 0), 2: ("beta", 1), 3: (None, 0), 4: ("", 0)}, (gap, at)
