@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.columns import missing_to_null
 from auditloom.operators.rank import eaurc_by_method
+from auditloom.session import cut_lineage
 
 REPLICATES, SEED, MIN_FINITE = 2000, 42, 100
-#: Score rows (cases times methods) up to which a task takes whole replicates; 4 bytes each and 10 for each case, sent to every task.
+#: Score rows (cases times methods) up to which a task takes whole replicates; 4 bytes each and 8 for each case, sent to every task.
 DENSE_ROWS = 1 << 22
 #: Hashes of numbers of equal length made at once, and the least for which that is faster than one by one.
 HASHES, FEW_HASHES = 1 << 14, 1 << 11
+SCORED = ["site", "site_pos", "case_pos", "case_id", "dice", "method", "score"]
 _SHIFTS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
@@ -56,9 +58,9 @@ def replicate_table(scored: DataFrame, replicates: int = REPLICATES, seed: int =
     Up to ``dense_rows`` rows of scores are sent to all tasks as arrays, and a task makes whole replicates of them; larger
     tables are drawn and ranked as relations. Both take the same draws. ``published`` takes numpy's stream instead (see ``numpy_draws``).
     """
-    rows = scored.select("site", "site_pos", "case_pos", "case_id", "dice", "method", "score")
+    rows = scored.select(*SCORED)
     if rows.limit(dense_rows + 1).count() <= dense_rows:
-        return _dense_replicates(rows, replicates, seed, published)
+        return _dense_replicates(rows, replicates, seed, published)[0]
     cases = rows.select("case_id", "site", "site_pos", "case_pos", "dice").distinct()
     if published:
         raise ValueError(f"published draws are made for at most {dense_rows} rows of scores")
@@ -66,23 +68,44 @@ def replicate_table(scored: DataFrame, replicates: int = REPLICATES, seed: int =
     return eaurc_by_method(drawn, ["rep"], [F.col("draw_pos")])
 
 
-def _md5(blocks: list[list[np.ndarray]]) -> np.ndarray:
-    """First four bytes of the MD5 of each message, as a big-endian number; a block is 16 little-endian words, those equal in all messages of length one."""
-    state = [np.array([x], np.uint32) for x in _START]
+def replicates_and_points(scored: DataFrame, replicates: int = REPLICATES, seed: int = SEED, dense_rows: int = DENSE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``replicate_table``, checkpointed, and ``eaurc_by_method`` of the cases themselves, both from the same arrays where these can be made."""
+    rows = scored.select(*SCORED)
+    if rows.limit(dense_rows + 1).count() <= dense_rows:
+        table, points = _dense_replicates(rows, replicates, seed, False)
+        return cut_lineage(table), rows.sparkSession.createDataFrame([p[1:] for p in points], "method string, eaurc_within double, eaurc_pooled double")
+    return cut_lineage(replicate_table(scored, replicates, seed, dense_rows)), cut_lineage(eaurc_by_method(scored))
+
+
+def _md5(blocks: list[list[np.ndarray]], n: int) -> np.ndarray:
+    """First four bytes of the MD5 of each of ``n`` messages, as a big-endian number; a block is 16 little-endian words, those equal in all messages of length one."""
+    state = [np.full(n, x, np.uint32) for x in _START]
     for block in blocks:
         a, b, c, d = state
         for i in range(64):
             if i < 16:
-                mix, k = d ^ (b & (c ^ d)), i
+                mix, k = c ^ d, i
+                mix &= b
+                mix ^= d
             elif i < 32:
-                mix, k = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+                mix, k = b ^ c, (5 * i + 1) % 16
+                mix &= d
+                mix ^= c
             elif i < 48:
-                mix, k = b ^ c ^ d, (3 * i + 5) % 16
+                mix, k = b ^ c, (3 * i + 5) % 16
+                mix ^= d
             else:
-                mix, k = c ^ (b | ~d), 7 * i % 16
-            mix = mix + (a + (block[k] + np.uint32(_SINES[i])))
+                mix, k = ~d, 7 * i % 16
+                mix |= b
+                mix ^= c
+            mix += a
+            mix += block[k] + np.uint32(_SINES[i])
             by = _SHIFTS[i // 16][i % 4]
-            a, b, c, d = d, b + ((mix << np.uint32(by)) | (mix >> np.uint32(32 - by))), b, c
+            high = mix >> np.uint32(32 - by)
+            mix <<= np.uint32(by)
+            mix |= high
+            mix += b
+            a, b, c, d = d, mix, b, c
         state = [x + y for x, y in zip(state, (a, b, c, d), strict=True)]
     return state[0].byteswap()
 
@@ -104,25 +127,22 @@ def hash_draws(prefix: str, n: int) -> np.ndarray:
             for at in range(length - 1, length - 1 - digits, -1):
                 number, digit = np.divmod(number, np.uint32(10))
                 words[at // 4] = words[at // 4] + (digit << np.uint32(8 * (at % 4)))
-            out[first : first + len(number)] = _md5([words[k : k + 16] for k in range(0, len(words), 16)])
+            out[first : first + len(number)] = _md5([words[k : k + 16] for k in range(0, len(words), 16)], len(number))
     return out % max(n, 1)
 
 
-def _area(risk: np.ndarray) -> float:
-    """Mean over k of the mean of the first k risks."""
-    return float((np.cumsum(risk) / np.arange(1, len(risk) + 1)).mean())
-
-
-def _areas(risk: np.ndarray, site: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, float]:
-    """``_area`` of each site and of all, of risks in order; ``ends`` of the sites' rows once these are put together."""
-    own = risk[np.argsort(site, kind="stable")]
-    return np.array([_area(part) for part in np.split(own, ends)]), _area(risk)
+def _area(risk: np.ndarray, parts: np.ndarray) -> float:
+    """Mean over k of the mean of the first k risks; ``parts`` holds 1 / k."""
+    total = np.cumsum(risk)
+    total *= parts[: len(risk)]
+    return float(total.mean())
 
 
-def _dense_replicates(rows: DataFrame, replicates: int, seed: int, published: bool) -> DataFrame:
-    """Cases lie site after site in arrays: their risks, sites and, for each method, the rank of their score, equal for equal scores.
+def _dense_replicates(rows: DataFrame, replicates: int, seed: int, published: bool) -> tuple[DataFrame, list[tuple]]:
+    """Cases lie site after site in arrays: their risks and, for each method, the rank of their score, equal for equal scores.
 
     A replicate's draws are put in order of these ranks, the later first of equal ones; that is the order of its sites as well.
+    The second result is a replicate of number -1 in which each case is drawn once, in its own place.
     """
     spark = rows.sparkSession
     scores = F.transform(F.array_sort(F.collect_list(F.struct("method", "score"))), lambda x: x["score"])
@@ -130,28 +150,32 @@ def _dense_replicates(rows: DataFrame, replicates: int, seed: int, published: bo
     table = rows.groupBy("site_pos", "site", "case_pos", "case_id", "dice").agg(scores.alias("scores")).toPandas()  # at most DENSE_ROWS rows, as the caller has counted
     table = table.sort_values(["site_pos", "site", "case_pos", "case_id"], ignore_index=True)
     sites = list(table[["site_pos", "site"]].drop_duplicates()["site"])
-    where = table["site"].map({s: i for i, s in enumerate(sites)}).to_numpy(np.uint16 if len(sites) <= 1 << 16 else np.int64)
-    sizes = [int(n) for n in np.bincount(where, minlength=len(sites))]
+    sizes = table.groupby(["site_pos", "site"], dropna=False).size().tolist()  # in the order of the rows
     score = np.array(table["scores"].tolist(), np.float64).reshape(len(table), len(methods))
     ranks = [np.unique(score[:, m], return_inverse=True)[1].astype(np.int32) for m in range(len(methods))]
-    shared = spark.sparkContext.broadcast((1 - table["dice"].to_numpy(np.float64), where, ranks))
+    shared = spark.sparkContext.broadcast((1 - table["dice"].to_numpy(np.float64), ranks))
 
-    def one(rep: int, drawn: list[np.ndarray]) -> list[tuple]:
-        risk, where, ranks = shared.value
+    def one(rep: int, drawn: list[np.ndarray], parts: np.ndarray) -> list[tuple]:
+        risk, ranks = shared.value
         if not ranks:
             return []
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         case = np.concatenate([i + first for i, first in zip(drawn, starts, strict=False)])[::-1]  # the later first
-        r, site, ends, place = risk[case], where[case], starts[1:-1], np.arange(len(case))
-        best, best_pool = np.array([_area(np.sort(part)) for part in np.split(risk[case[::-1]], ends)]), _area(np.sort(r))
+        cuts = (len(case) - starts[-2:0:-1]).tolist()  # the last site comes first
+        r = risk[case]
+        best, best_pool = np.array([_area(np.sort(part), parts) for part in np.split(r, cuts)]), _area(np.sort(r), parts)
         out = []
         for method, rank in zip(methods, ranks, strict=True):
-            order = np.sort((rank[case].astype(np.int64) << 32) | place) & 0xFFFFFFFF  # distinct keys: places settle equal ranks
-            within, pool = _areas(r[order], site[order], ends)
+            place = rank[case].astype(np.int64) << 32
+            place |= np.arange(len(case))  # distinct keys: places settle equal ranks
+            within = np.array([_area(r[np.sort(part) & 0xFFFFFFFF], parts) for part in np.split(place, cuts)])
+            place.sort()
+            pool = _area(r[place & 0xFFFFFFFF], parts)
             out.append((rep, method, float(np.mean(within - best)), pool - best_pool))
         return out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        harmonic = 1 / np.arange(1, sum(sizes) + 1)
         for part in parts:
             found = []
             for row in part.itertuples():
@@ -160,7 +184,7 @@ def _dense_replicates(rows: DataFrame, replicates: int, seed: int, published: bo
                     drawn = [np.asarray(stream[s], np.int64) for s in sites]
                 else:
                     drawn = [hash_draws(f"{seed}|{s}|{row.rep}|", n) for s, n in zip(sites, sizes, strict=True)]
-                found += one(row.rep, drawn)
+                found += one(row.rep, drawn, harmonic)
             yield pd.DataFrame(found, columns=["rep", "method", "eaurc_within", "eaurc_pooled"], dtype=object)
 
     if published:
@@ -169,7 +193,7 @@ def _dense_replicates(rows: DataFrame, replicates: int, seed: int, published: bo
         reps = reps.groupBy("rep").agg(F.collect_list("site").alias("sites"), F.collect_list("i").alias("i"))
     else:
         reps = spark.range(0, replicates, 1, max(1, min(replicates, spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("rep"))
-    return reps.mapInPandas(run, "rep int, method string, eaurc_within double, eaurc_pooled double")
+    return reps.mapInPandas(run, "rep int, method string, eaurc_within double, eaurc_pooled double"), one(-1, [np.arange(n) for n in sizes], 1 / np.arange(1, sum(sizes) + 1))
 
 
 def interval(x: Column, confidence: float = 0.95, least: int = MIN_FINITE) -> tuple[Column, Column]:

@@ -21,7 +21,8 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods, _, sites = audit.registry(spark)
-    return cut_lineage(completeness.complete_scores(audit.cases(spark, sf_dir), audit.scores(spark, sf_dir), methods, sites))
+    cases, scores = cut_lineage(audit.cases(spark, sf_dir)), cut_lineage(audit.scores(spark, sf_dir))  # read several times below
+    return cut_lineage(completeness.complete_scores(cases, scores, methods, sites))
 
 
 def eaurc_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +57,7 @@ def failure_scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scored = _scored(spark, sf_dir)
-    return cut_lineage(bootstrap.replicate_table(scored, REPLICATES)), cut_lineage(rank.eaurc_by_method(scored))
+    return bootstrap.replicates_and_points(_scored(spark, sf_dir), REPLICATES)
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:

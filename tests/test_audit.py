@@ -190,3 +190,21 @@ def test_paired_tests_of_many_cases(spark):
     assert time.time() - began < 40
     assert len(got) == 1 and got[0].n_boot == 120 and got[0].pooled_p == got[0].within_p == 2 / 121
     assert got[0].within_low <= got[0].within_diff <= got[0].within_high < 0 and abs(got[0].within_diff - got[0].pooled_diff) < 1e-12
+
+
+def test_points_come_from_the_arrays_of_the_replicates(spark, monkeypatch):
+    """Equal scores of unequal risks, sites of unequal size; the second site by position comes first by name."""
+    sites = F.when(F.col("case_pos") % 5 < 3, "B").otherwise("A")
+    place = {"case_id": F.col("case_pos").cast("string"), "site": sites, "site_pos": F.when(sites == "B", 0).otherwise(1)}
+    cases = spark.range(700).withColumnRenamed("id", "case_pos").withColumns(place).withColumn("dice", F.pmod(F.xxhash64("case_pos"), F.lit(101)) / 101)
+    scored = cut_lineage(cases.withColumn("method", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("score", F.pmod(F.xxhash64("case_pos", "method"), F.lit(13)) / 13))
+    as_rows = lambda table, *key: {tuple(r[k] for k in key): (r.eaurc_within, r.eaurc_pooled) for r in table.collect()}
+    want, plain = as_rows(rank.eaurc_by_method(scored), "method"), as_rows(bootstrap.replicate_table(scored, 3, dense_rows=0), "rep", "method")
+    monkeypatch.setattr(bootstrap, "eaurc_by_method", None)
+    monkeypatch.setattr(rank, "eaurc_by_method", None)
+    drawn, points = bootstrap.replicates_and_points(scored, 3)
+    for got, expected in ((as_rows(points, "method"), want), (as_rows(drawn, "rep", "method"), plain)):
+        assert got.keys() == expected.keys() and all(np.allclose(got[k], expected[k], rtol=0, atol=1e-12) for k in got)
+    from auditloom.plans import queries
+
+    assert all(r.n_boot == 2000 for r in queries.QUERIES["paired_tests"](spark, "/root/testdata/sf0.001").collect())
