@@ -27,6 +27,9 @@ NUM, DEN = 4, 5
 EXTRA = 3
 #: Words of 64 parity bits.
 WORDS = 4
+#: Runs of words in a block, and blocks at most, that are written out instead of looped over.
+BLOCK, BLOCKS = 16, 16
+
 
 def _odd(text: Column) -> Column:
     """Whether the text has other white space than line breaks and single spaces within lines."""
@@ -63,11 +66,23 @@ def _ids() -> dict[str, Column]:
     return {"id": F.xxhash64("line"), "more": F.xxhash64(F.lit(1), "line")}
 
 
+def _no_tokens() -> Column:
+    """An empty array that, as the arrays of hashes do, holds no null by its type, so that these are sorted as plain numbers."""
+    return F.slice(F.array(F.lit(0).cast("bigint")), 1, 0)
+
+
 def with_tokens(lines: DataFrame) -> DataFrame:
-    """Replaces ``line`` by ``tokens``: sorted hashes of the distinct runs of SHINGLE words, none for a shorter line."""
+    """Replaces ``line`` by ``tokens``: sorted hashes of the distinct runs of SHINGLE words, none for a shorter line.
+
+    The runs of a line with at most BLOCK * BLOCKS are written out one by one, in blocks of which it makes those it needs: Spark compiles
+    these, while it interprets the function of ``transform``, which longer lines take, word by word.
+    """
     hashed = lines.withColumn("words", F.split("line", " ")).drop("line").withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
-    run = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.call_function("xxhash64", *[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
-    runs = F.when(F.size("words") >= SHINGLE, run).otherwise(F.array().cast("array<bigint>"))
+    n = F.size("words") - (SHINGLE - 1)
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("xxhash64", *[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
+    block = lambda first: F.array(*[F.xxhash64(F.slice("words", first + i + 1, SHINGLE)) for i in range(BLOCK)])
+    blocks = [F.when(n > first, block(first)).otherwise(_no_tokens()) for first in range(0, BLOCK * BLOCKS, BLOCK)]
+    runs = F.when(n <= 0, _no_tokens()).when(n > BLOCK * BLOCKS, each).otherwise(F.slice(F.concat(*blocks), F.lit(1), n))
     made = hashed.withColumn("tokens", runs).drop("words")
     return made.withColumn("tokens", F.sort_array(F.array_distinct("tokens")))
 

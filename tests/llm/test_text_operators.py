@@ -276,3 +276,18 @@ def test_line_dedup_looks_for_odd_white_space_once(spark, monkeypatch):
             rows = [(i, t.replace("four ", "four" + gap) if i == at + 1 else t) for i, t in plain]
             got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows, "doc_id long, text string")).collect()}
             assert got == {1: (rows[0][1], 0), 2: ("beta", 1), 3: (None, 0), 4: ("", 0)}, (gap, at)
+
+
+def test_line_tokens_are_written_out_in_blocks_without_nulls(spark):
+    whole = line_dedup.BLOCK * line_dedup.BLOCKS + line_dedup.SHINGLE - 1  # words of the longest line that blocks serve
+    sizes = [0, 1, 4, 5, 6, 19, 20, 21, 22, whole - 1, whole, whole + 1, whole + 40]
+    rows = [(i, " ".join(f"w{j % 300}" for j in range(size))) for i, size in enumerate(sizes)] + [(99, "a b c d e a b c d e a b c d e")]
+    made = line_dedup.with_tokens(frame(spark, rows, "id long, line string"))
+    assert not made.schema["tokens"].dataType.containsNull  # arrays that may hold nulls are sorted as objects
+    run = ", ".join(f"xxhash64(w[i + {k}])" for k in range(5))
+    each = f"array_sort(array_distinct(transform(filter(sequence(0, size(w)), i -> i + 5 <= size(w)), i -> xxhash64({run})))) AS tokens"
+    want = frame(spark, rows, "id long, line string").selectExpr("id", "split(line, ' ') AS w").selectExpr("id", each)
+    got = {r.id: r.tokens for r in made.collect()}
+    assert got == {r.id: r.tokens for r in want.collect()}
+    assert [len(got[i]) for i in range(len(sizes))] == [min(max(0, size - 4), 300) for size in sizes]
+    assert len(got[99]) == 5
